@@ -112,11 +112,12 @@ def kpi_measures(df: DataFrame, primary: str | None = None, k: int = 4) -> DataF
         aggregates += [f(x).alias(f"{n}{i}") for n, f in (("total", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))]
     entries = [
         {"name": F.lit(c)}
-        | {n: py_round(F.col(f"{n}{i}"), 2) for n in ("total", "mean", "min", "max")}
+        | {n: F.col(f"{n}{i}") for n in ("total", "mean", "min", "max")}
         | {"is_primary": F.lit(c == primary)}
         for i, c in enumerate(names)
     ]
-    return to_long(df.agg(*aggregates), entries).filter(F.col("total").isNotNull())
+    figures = to_long(df.agg(*aggregates), entries, dict.fromkeys(("total", "mean", "min", "max"), 2))
+    return figures.filter(F.col("total").isNotNull())
 
 
 def kpi_summary(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:

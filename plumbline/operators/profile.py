@@ -28,13 +28,14 @@ def _missing_counts(df: DataFrame) -> list[Column]:
 def missing_values(df: DataFrame) -> DataFrame:
     """Columns with missing values: ``(column, missing_count, missing_pct)``."""
     counts = df.agg(F.count("*").alias("n"), *_missing_counts(df))
-    share = lambda c: F.when(F.col("n") > 0, py_round(c / F.col("n") * 100, 2)).otherwise(0.0)
+    share = lambda c: F.when(F.col("n") > 0, c / F.col("n") * 100).otherwise(0.0)
     long = to_long(
         counts,
         [
             {"column": F.lit(name), "missing_count": F.col(f"missing{i}"), "missing_pct": share(F.col(f"missing{i}"))}
             for i, name in enumerate(df.columns)
         ],
+        {"missing_pct": 2},
     )
     return long.filter("missing_count > 0")
 
@@ -192,10 +193,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
             "mean": F.col(f"mean{i}"), "std": spread, "min": F.col(f"min{i}"),
             "q25": q25, "median": median, "q75": q75, "max": F.col(f"max{i}"),
         }
-        entries.append(
-            {"column": F.lit(c), "count": F.col(f"n{i}")} | {k: py_round(v, 4) for k, v in numbers.items()}
-        )
-    return to_long(df.agg(F.count("*"), *aggregates), entries)
+        entries.append({"column": F.lit(c), "count": F.col(f"n{i}")} | numbers)
+    return to_long(df.agg(F.count("*"), *aggregates), entries, dict.fromkeys(numbers, 4))
 
 
 def histogram_edges(
