@@ -1,6 +1,6 @@
 from plumbline.functions.dates import month_end, parse_mixed_date, week_end
 from plumbline.functions.frames import side_by_side, to_long
-from plumbline.functions.numbers import number_text, parse_number, py_round, safe_corr, signed_text
+from plumbline.functions.numbers import number_text, parse_number, py_round, signed_text
 from plumbline.functions.text import is_missing, null_if_nan, strip_whitespace
 
 __all__ = [
@@ -11,7 +11,6 @@ __all__ = [
     "parse_mixed_date",
     "parse_number",
     "py_round",
-    "safe_corr",
     "side_by_side",
     "signed_text",
     "strip_whitespace",

@@ -61,14 +61,3 @@ def signed_text(value: Column, digits: int) -> Column:
 def fixed_text(value: Column, digits: int) -> Column:
     """Fixed decimals without grouping, e.g. ``3.5``."""
     return F.format_string(f"%.{digits}f", py_round(value, digits))
-
-
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over pairs with both values; null when one side is constant.
-
-    The built-in ``corr`` raises a division error on a constant column in ANSI mode.
-    """
-    a, b = a.cast("double"), b.cast("double")
-    var_a = F.var_pop(F.when(b.isNotNull(), a))
-    var_b = F.var_pop(F.when(a.isNotNull(), b))
-    return F.try_divide(F.covar_pop(a, b), F.sqrt(var_a) * F.sqrt(var_b))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import month_end, number_text, side_by_side, week_end
 from plumbline.functions.numbers import fixed_text, signed_text
 from plumbline.operators.anomalies import anomaly_items, anomaly_points
-from plumbline.operators.association import correlation_matrix, correlation_pairs
+from plumbline.operators.association import correlation_matrix, direction, ranked_pairs, strength
 from plumbline.operators.breakdown import group_extremes, grouped_totals, scalar_aggregate, share_of_shown, top_groups
 from plumbline.operators.coercion import prepare
 from plumbline.operators.forecast import MIN_POINTS, ForecastError, Line, fit_line, numeric_series
@@ -316,13 +316,13 @@ class Assistant:
     def _correlation(self, question: str) -> Answer | None:
         if len(self.roles.measures) < 2:
             return None
-        pairs = correlation_pairs(self.df, self.roles.measures)
-        if pairs.isEmpty():
+        ranked = ranked_pairs(self.df, self.roles.measures)
+        if ranked.isEmpty():
             return None
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("value")))))
+        r = F.col("corr")
         line = F.concat(
-            F.lit("- **"), F.col("a"), F.lit("** ↔ **"), F.col("b"), F.lit("**: "), signed_text(F.col("value"), 2),
-            F.lit(" ("), F.col("strength"), F.lit(" "), F.col("direction"), F.lit(")"),
+            F.lit("- **"), F.col("a"), F.lit("** ↔ **"), F.col("b"), F.lit("**: "), signed_text(r, 2),
+            F.lit(" ("), strength(r), F.lit(" "), direction(r), F.lit(")"),
         )
         head = F.lit("### Correlation analysis\n\nStrongest relationships between numeric columns:\n\n")
         return Answer("correlation", ranked.agg(F.concat(head, _joined(line)).alias("answer")), correlation_matrix(self.df))
@@ -373,8 +373,8 @@ class Assistant:
 
 def _joined(line: Column, by: str = "rank") -> Column:
     """The lines of a short ranked list, one below the other."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(by), line.alias("line"))))
-    return F.array_join(F.transform(ordered, lambda s: s["line"]), "\n")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), line.alias("said"))))
+    return F.array_join(F.transform(ordered, lambda s: s["said"]), "\n")
 
 
 def ask(df: DataFrame, question: str, order_by: Sequence[str] | None = None) -> Answer:

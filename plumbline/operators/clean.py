@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,15 @@ def convert_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: parse_number(F.col(f"`{c}`")) for c in names}) if names else df
 
 
+def convertible_and_datelike(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Both kinds from one scan; a column that converts to numbers holds no dates."""
+    texts = text_columns(df)
+    present, numbers, dates = parse_counts(df, texts, texts)
+    to_number = [c for c in texts if present[c] and numbers[c] >= NUMBER_SHARE * present[c]]
+    to_date = [c for c in texts if c not in to_number and present[c] and dates[c] >= CLEAN_DATE_SHARE * present[c]]
+    return to_number, to_date
+
+
 def datelike(df: DataFrame) -> list[str]:
     """Text columns of which at least 80 % of the values are dates."""
     present, _, dates = parse_counts(df, [], text_columns(df))
@@ -148,23 +158,30 @@ def clean(df: DataFrame, options: CleaningOptions) -> Cleaned:
     if options.trim_whitespace:
         out = trim_whitespace(out)
         done.append("Trimmed whitespace")
-    if options.convert_types:
-        names = convertible(out)
-        out = convert_types(out, names)
-        if names:
-            done.append(f"Converted to numeric: {', '.join(names)}")
-    if options.normalize_dates:
-        names = datelike(out)
-        out = normalize_dates(out, names)
-        if names:
-            done.append(f"Normalized dates: {', '.join(names)}")
-    if options.drop_empty_rows:
-        empty = out.filter(" AND ".join(f"`{c}` IS NULL" for c in out.columns)).count()
-        out = drop_empty_rows(out)
-        if empty:
-            done.append(f"Removed {empty} empty row(s)")
+    numbers: list[str] = []
+    dates: list[str] = []
+    if options.convert_types and options.normalize_dates:
+        numbers, dates = convertible_and_datelike(out)
+    elif options.convert_types:
+        numbers = convertible(out)
+    elif options.normalize_dates:
+        dates = datelike(out)
+    out = normalize_dates(convert_types(out, numbers), dates)
+    if numbers:
+        done.append(f"Converted to numeric: {', '.join(numbers)}")
+    if dates:
+        done.append(f"Normalized dates: {', '.join(dates)}")
+    before = 0
+    if options.drop_empty_rows or options.remove_duplicates:
+        blank = reduce(Column.__and__, [F.col(f"`{c}`").isNull() for c in out.columns])
+        size = out.agg(F.count("*").alias("rows"), F.count_if(blank).alias("empty")).first()
+        before = size["rows"]
+        if options.drop_empty_rows:
+            out = drop_empty_rows(out)
+            before -= size["empty"]
+            if size["empty"]:
+                done.append(f"Removed {size['empty']} empty row(s)")
     if options.remove_duplicates:
-        before = out.count()
         # Later steps scan the result several times; the shuffle should run once.
         out = materialize(remove_duplicates(out), "deduplicated")
         after = out.count()

@@ -57,14 +57,13 @@ def write_markdown(document: DataFrame, path: str, chat: str = "conv_id") -> Non
 
 def chunk_words(texts: DataFrame, key: Sequence[str], text: str = "text", size: int = 4) -> DataFrame:
     """Rows ``(key, ordinal, chunk)``: groups of words that join back to the whole text."""
-    words = F.split(F.col(text), " ", -1)
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(size))
-    last = lambda s: s + size > F.size(words)
-    chunks = F.transform(
-        starts,
-        lambda s: F.concat(F.array_join(F.slice(words, s, F.lit(size)), " "), F.when(last(s), "").otherwise(" ")),
-    )
-    return texts.filter(F.col(text).isNotNull()).select(*key, F.posexplode(chunks).alias("ordinal", "chunk"))
+    # Split in its own projection: inside the transform it would run again for every chunk.
+    split = texts.filter(F.col(text).isNotNull()).select(*key, F.split(F.col(text), " ", -1).alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(size))
+    chunk = split.select(*key, "words", F.posexplode(starts).alias("ordinal", "start"))
+    is_last = F.col("start") + size > F.size("words")
+    joined = F.array_join(F.slice("words", F.col("start"), F.lit(size)), " ")
+    return chunk.select(*key, "ordinal", F.concat(joined, F.when(is_last, "").otherwise(" ")).alias("chunk"))
 
 
 def pinned_split(chats: DataFrame, pinned: DataFrame, key: str) -> DataFrame:

@@ -39,7 +39,7 @@ def distinct_counts(
     columns: Sequence[str],
     matters: Callable[[int, int], bool] = lambda rows, estimate: True,
 ) -> tuple[int, dict[str, int]]:
-    """Row count and distinct counts: exact where few or where ``matters`` says so.
+    """Row count and distinct counts, exact wherever ``matters`` says so.
 
     ``matters(rows, estimate)`` tells whether the caller's decision could turn on the
     difference between the estimate and the true count.
@@ -47,14 +47,17 @@ def distinct_counts(
     if not columns:
         return df.count(), {}
     rows, counts = sketch_counts(df, columns)
-    few = [c for c in columns if counts[c] <= FEW]
-    counts.update(few_distinct(df, few))
-    for c in columns:
-        if c not in few and matters(rows, counts[c]):
-            counts[c] = exact_distinct(df, c)
-    return rows, counts
+    doubtful = [c for c in columns if matters(rows, counts[c])]
+    return rows, counts | exact_counts(df, {c: counts[c] for c in doubtful})
+
+
+def exact_counts(df: DataFrame, estimates: dict[str, int]) -> dict[str, int]:
+    """Exact counts: one scan for all columns of few values, one shuffle for each other."""
+    few = [c for c, n in estimates.items() if n <= FEW]
+    counts = few_distinct(df, few)
+    return {c: counts[c] if c in counts else exact_distinct(df, c) for c in estimates}
 
 
 def capped_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Distinct counts that are exact up to ``FEW`` and merely large beyond it."""
-    return distinct_counts(df, columns, lambda rows, estimate: False)[1]
+    return distinct_counts(df, columns, lambda rows, estimate: estimate <= FEW)[1]

@@ -52,17 +52,18 @@ class Line:
 
 
 def fit_line(series: DataFrame, target: str = "y") -> Line:
-    """Least squares over ``(t, y)`` in one pass; four numbers reach the driver."""
+    """Least squares over ``(t, y)`` with t = 0, 1, 2, ...; three numbers reach the driver.
+
+    The sums of the positions follow from their number, only the products need a scan.
+    """
     t, y = F.col("t").cast("double"), F.col("y")
-    row = series.agg(
-        F.count("*").alias("n"),
-        F.try_divide(F.covar_pop(t, y), F.var_pop(t)).alias("slope"),
-        F.avg(t).alias("mean_t"),
-        F.avg(y).alias("mean_y"),
-    ).first()
-    if row["n"] < MIN_POINTS:
-        raise ForecastError(f"Column '{target}' has too few numeric points ({row['n']}) to forecast")
-    return Line(row["n"], row["slope"], row["mean_y"] - row["slope"] * row["mean_t"], row["mean_y"])
+    row = series.agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(t * y).alias("sty")).first()
+    n = row["n"]
+    if n < MIN_POINTS:
+        raise ForecastError(f"Column '{target}' has too few numeric points ({n}) to forecast")
+    middle, mean = (n - 1) / 2, row["sy"] / n
+    slope = (row["sty"] - middle * row["sy"]) / (n * (n * n - 1) / 12)
+    return Line(n, slope, mean - slope * middle, mean)
 
 
 def residual_facts(series: DataFrame, line: Line) -> DataFrame:
@@ -73,7 +74,7 @@ def residual_facts(series: DataFrame, line: Line) -> DataFrame:
         F.sum((F.col("y") - F.lit(line.mean)) * (F.col("y") - F.lit(line.mean))).alias("ss_tot"),
         F.avg(F.abs(residual)).alias("mae"),
         F.avg(residual * residual).alias("mse"),
-        F.stddev_pop(residual).alias("spread"),
+        F.sqrt(F.avg(residual * residual)).alias("spread"),  # residuals of a fit have mean 0
     )
 
 

@@ -4,6 +4,7 @@ The built-in ``percentile`` keeps every distinct value of a column in a single
 aggregation buffer. Here a mergeable sketch brackets each wanted rank, the rows below and
 inside the bracket are counted exactly, and the bracket is narrowed again until it is
 small enough to be sorted; a bracket that closes on one heavy value is already the answer.
+Three scans (sketch, count, pick) settle billions of rows, two more a thousand times that.
 Only bracket edges and counts (a few numbers per column) reach the driver.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-SETTLE_ROWS = 500_000
+SETTLE_ROWS = 100_000
 
 
 @dataclass
@@ -67,32 +68,46 @@ def exact_quantiles(
         return {}
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     names = values.columns
-    ends = values.agg(
-        *[e for v in names for e in (F.count(v).alias(f"n_{v}"), F.min(v).alias(f"lo_{v}"), F.max(v).alias(f"hi_{v}"))]
+    margin = 2.0 / accuracy
+    edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    first = values.agg(
+        *[
+            e
+            for v in names
+            for e in (
+                F.count(v).alias(f"n_{v}"),
+                F.min(v).alias(f"lo_{v}"),
+                F.max(v).alias(f"hi_{v}"),
+                F.percentile_approx(v, edges, accuracy).alias(f"s_{v}"),
+            )
+        ]
     ).first()
 
-    sizes = {v: ends[f"n_{v}"] for v in names}
-    open_brackets: list[_Bracket] = []
+    sizes = {v: first[f"n_{v}"] for v in names}
     settled: list[_Bracket] = []
+    wide: list[_Bracket] = []
+    sketched: list[tuple[float, float]] = []
     for v in names:
         n = sizes[v]
         if n == 0:
             continue
-        whole = {"column": v, "low": ends[f"lo_{v}"], "high": ends[f"hi_{v}"], "below": 0, "inside": n}
-        ranks_per_prob = [_ranks(n, p) for p in probs]
+        whole = {"column": v, "low": first[f"lo_{v}"], "high": first[f"hi_{v}"], "below": 0, "inside": n}
         if n <= settle_rows:
-            settled.append(_Bracket(ranks=tuple(sorted({r for rs in ranks_per_prob for r in rs})), **whole))
-        else:
-            open_brackets += [_Bracket(ranks=rs, **whole) for rs in ranks_per_prob]
+            settled.append(_Bracket(ranks=tuple(sorted({r for p in probs for r in _ranks(n, p)})), **whole))
+            continue
+        wide += [_Bracket(ranks=_ranks(n, p), **whole) for p in probs]
+        sketched += [(first[f"s_{v}"][2 * i], first[f"s_{v}"][2 * i + 1]) for i in range(len(probs))]
 
-    margin = 2.0 / accuracy
-    while open_brackets:
-        narrowed = _narrow(values, open_brackets, accuracy, margin)
-        if all(new.inside == old.inside for new, old in zip(narrowed, open_brackets)):
-            margin *= 4
-        open_brackets = []
+    narrowed = _count(values, wide, sketched) if wide else []
+    while narrowed:
+        unsettled = []
         for b in narrowed:
-            (settled if b.inside <= settle_rows or b.low == b.high else open_brackets).append(b)
+            (settled if b.inside <= settle_rows or b.low == b.high else unsettled).append(b)
+        if not unsettled:
+            break
+        narrowed = _count(values, unsettled, _sketch(values, unsettled, accuracy, margin))
+        if all(new.inside == old.inside for new, old in zip(narrowed, unsettled)):
+            margin *= 4  # no progress: look wider around the ranks
 
     at_rank = _pick(values, settled)
     result: dict[str, list[float] | None] = {}
@@ -114,20 +129,22 @@ def _ranks(n: int, prob: float) -> tuple[int, ...]:
     return tuple(sorted({math.floor(position), math.ceil(position)}))
 
 
-def _narrow(values: DataFrame, brackets: list[_Bracket], accuracy: int, margin: float) -> list[_Bracket]:
-    """Two scans: sketch inside each bracket, then exact counts for the tighter one."""
+def _sketch(
+    values: DataFrame, brackets: list[_Bracket], accuracy: int, margin: float
+) -> list[tuple[float, float]]:
+    """A tighter range around the ranks of each bracket, from one scan."""
     sketches = []
     for i, b in enumerate(brackets):
         c = F.col(b.column)
         first, last = ((r - b.below) / max(b.inside - 1, 1) for r in (b.ranks[0], b.ranks[-1]))
         edges = [max(first - margin, 0.0), min(last + margin, 1.0)]
         sketches.append(F.percentile_approx(F.when(b.holds(c), c), edges, accuracy).alias(f"s{i}"))
-    edges_row = values.agg(*sketches).first()
+    row = values.agg(*sketches).first()
+    return [(max(row[i][0], b.low), min(row[i][1], b.high)) for i, b in enumerate(brackets)]
 
-    tighter = []
-    for i, b in enumerate(brackets):
-        low, high = edges_row[f"s{i}"]
-        tighter.append((max(low, b.low), min(high, b.high)))
+
+def _count(values: DataFrame, brackets: list[_Bracket], tighter: list[tuple[float, float]]) -> list[_Bracket]:
+    """Exact counts for the tighter ranges, from one scan."""
     counts = values.agg(
         *[
             e

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.distinct import MARGIN, distinct_counts, exact_distinct
+from plumbline.operators.distinct import MARGIN, distinct_counts, exact_counts
 
 # Fixed values, searched in this order.
 MEASURE_HINTS = [
@@ -39,10 +39,11 @@ def dimension_counts(df: DataFrame) -> dict[str, int]:
     if not texts:
         return {}
 
-    def near_limit(rows: int, estimate: int) -> bool:
-        return abs(estimate - dimension_limit(rows)) <= MARGIN * estimate
+    def doubtful(rows: int, estimate: int) -> bool:
+        """Perhaps constant, or close to the limit."""
+        return estimate <= 3 or abs(estimate - dimension_limit(rows)) <= MARGIN * estimate
 
-    rows, counts = distinct_counts(df, texts, near_limit)
+    rows, counts = distinct_counts(df, texts, doubtful)
     return {c: n for c, n in counts.items() if 1 < n <= dimension_limit(rows)}
 
 
@@ -105,9 +106,9 @@ def pick_dimension(df: DataFrame, question: str = "", roles: Roles | None = None
         return named
     sizes = dict(zip(roles.dimensions, roles.dimension_sizes))
     smallest = min(sizes.values())
-    close = [c for c, n in sizes.items() if n <= smallest * (1 + 2 * MARGIN)]
-    if len(close) > 1 and smallest > 200:
-        sizes = {c: exact_distinct(df, c) for c in close}
+    close = {c: n for c, n in sizes.items() if n <= smallest * (1 + 2 * MARGIN) + 1}
+    if len(close) > 1:
+        sizes = exact_counts(df, close)
     return min(sizes, key=sizes.__getitem__)
 
 

@@ -2,8 +2,9 @@
 
 Column roles and outlier fences are found once and reused. The blocks are lazy and each
 reads only its own columns, so the table is not persisted by default: re-reading a few
-columns of a columnar file is cheaper than keeping a whole large table. For text sources,
-where every scan parses again, ``keep=True`` writes the prepared table to scratch once.
+columns of a columnar file is cheaper than keeping a whole large table. For text sources
+and joins, which every block would parse or join again, ``keep=True`` writes the prepared
+table to scratch once.
 """
 
 from __future__ import annotations

@@ -259,7 +259,7 @@ insights AS (
 
 @query("insights", f"WITH {SALES}, {INSIGHTS}\nSELECT section, ordinal, text FROM insights")
 def all_insights(spark, sf_dir):
-    return Analytics(sales(spark, sf_dir)).insights()
+    return Analytics(sales(spark, sf_dir), keep=True).insights()
 
 
 @query(
@@ -278,7 +278,7 @@ SELECT CAST(greatest(0, least(100, round_even(100.0 - missing / (7 * records) *
 FROM size CROSS JOIN outliers CROSS JOIN span""",
 )
 def report_highlights(spark, sf_dir):
-    return highlights_of(Analytics(sales(spark, sf_dir)))
+    return highlights_of(Analytics(sales(spark, sf_dir), keep=True))
 
 
 @query(
@@ -312,7 +312,7 @@ UNION ALL SELECT section_no, 1, '' FROM titles
 UNION ALL SELECT section_no, ordinal + 2, '- ' || replace(text, '**', '') FROM insights JOIN titles USING (section)""",
 )
 def report_lines(spark, sf_dir):
-    return lines_of(Analytics(sales(spark, sf_dir)), "Sales report", "sales")
+    return lines_of(Analytics(sales(spark, sf_dir), keep=True), "Sales report", "sales")
 
 
 @query(

@@ -6,6 +6,7 @@ from plumbline.functions import number_text, py_round
 from plumbline.operators import ask, conversations
 from plumbline.operators.breakdown import scalar_aggregate
 from plumbline.operators.coercion import prepare
+from plumbline.session import materialize
 from workload.analytics import GROUPS, _NULL_CELLS, SALES_COLUMNS, number_sql
 from workload.inputs import SALES, sales, table
 from workload.profiling import histogram_sql
@@ -56,7 +57,7 @@ FROM (SELECT *, {_chosen(ask.INTENTS, "summary")} AS intent, {_chosen(ask.GRANUL
 )
 def ask_route(spark, sf_dir):
     """The sales table answers every intent and has no outliers."""
-    can = ask.Abilities.of(sales(spark, sf_dir))
+    can = ask.Abilities.of(materialize(sales(spark, sf_dir), "sales"))
     return ask.route_questions(questions(spark, sf_dir), "question", can).drop("question")
 
 
@@ -92,14 +93,14 @@ def ask_breakdown(spark, sf_dir):
     "ask_aggregate",
     f"WITH {SALES}\n"
     + "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS operation, {rnd(f'{f}(revenue)', 4)} AS value, count(revenue) AS records FROM sales"
+        f"SELECT '{name}' AS operation, {rnd(f'{f}(revenue)', 2)} AS value, count(revenue) AS records FROM sales"
         for name, f in (("average", "avg"), ("count", "count"), ("maximum", "max"), ("minimum", "min"), ("total", "sum"))
     ),
 )
 def ask_aggregate(spark, sf_dir):
     df, out = sales(spark, sf_dir), None
     for operation in ("average", "count", "maximum", "minimum", "total"):
-        row = scalar_aggregate(df, "revenue", operation).withColumn("value", py_round(F.col("value"), 4))
+        row = scalar_aggregate(df, "revenue", operation).withColumn("value", py_round(F.col("value"), 2))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -175,7 +176,7 @@ UNION ALL SELECT 'breakdown', 'chart', '### Revenue share by segment' || chr(10)
 UNION ALL SELECT 'summary', 'chart', (SELECT string_agg(text, chr(10) ORDER BY place) FROM lines)""",
 )
 def ask_answers(spark, sf_dir):
-    assistant, out = ask.Assistant(sales(spark, sf_dir)), None
+    assistant, out = ask.Assistant(materialize(sales(spark, sf_dir), "sales")), None
     for intent, question in ANSWERS:
         answer = assistant.ask(question)
         row = answer.text.select(F.lit(answer.intent).alias("intent"), F.lit(answer.kind).alias("kind"), "answer")

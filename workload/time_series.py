@@ -96,8 +96,8 @@ FIT = """series AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS t, v
 fit AS (SELECT regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, count(*) AS n, avg(y) AS mean FROM series),
 errors AS (SELECT y - (intercept + slope * t) AS e, y - mean AS d FROM series CROSS JOIN fit),
 facts AS (SELECT sum(e * e) AS ss_res, sum(d * d) AS ss_tot, avg(abs(e)) AS mae, avg(e * e) AS mse, 1.96 * stddev_pop(e) AS margin FROM errors)"""
-AHEAD = f"""SELECT n - 1 + h AS t, {rnd("intercept + slope * (n - 1 + h)", 4)} AS forecast,
-  {rnd("intercept + slope * (n - 1 + h) - margin", 4)} AS lower, {rnd("intercept + slope * (n - 1 + h) + margin", 4)} AS upper
+AHEAD = f"""SELECT n - 1 + h AS t, {rnd("intercept + slope * (n - 1 + h)", 6)} AS forecast,
+  {rnd("intercept + slope * (n - 1 + h) - margin", 6)} AS lower, {rnd("intercept + slope * (n - 1 + h) + margin", 6)} AS upper
 FROM fit CROSS JOIN facts CROSS JOIN range(1, {HORIZON + 1}) r(h)"""
 
 
@@ -105,14 +105,10 @@ def _series(spark, sf_dir):
     return forecast.numeric_series(table(spark, sf_dir, "events"), "value", ORDER)
 
 
-def _four_digits(df, columns=("forecast", "lower", "upper")):
-    return df.withColumns({c: py_round(F.col(c), 4) for c in columns})
-
-
 @query("forecast_linear", f"WITH {FIT}\n{AHEAD}")
 def forecast_linear(spark, sf_dir):
     series = _series(spark, sf_dir)
-    return _four_digits(forecast.linear_forecast(series, forecast.fit_line(series), HORIZON))
+    return forecast.linear_forecast(series, forecast.fit_line(series), HORIZON)
 
 
 @query(
@@ -132,20 +128,19 @@ def forecast_metrics(spark, sf_dir):
 SELECT *, 'sklearn_regression' AS model_used, 'Prophet is not installed; used linear regression instead.' AS note FROM ({AHEAD})""",
 )
 def forecast_fallback(spark, sf_dir):
-    return _four_digits(forecast.forecast(table(spark, sf_dir, "events"), "value", ORDER, HORIZON, forecast.SEASONAL))
+    return forecast.forecast(table(spark, sf_dir, "events"), "value", ORDER, HORIZON, forecast.SEASONAL)
 
 
 @query(
     "forecast_export",
     f"""WITH {FIT}
-SELECT 'T-' || CAST(n - t AS VARCHAR) AS period, 'history' AS type, {rnd("y", 4)} AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
+SELECT 'T-' || CAST(n - t AS VARCHAR) AS period, 'history' AS type, {rnd("y", 6)} AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
 FROM series CROSS JOIN fit
 UNION ALL SELECT 'T+' || CAST(t - (SELECT n FROM fit) + 1 AS VARCHAR), 'forecast', forecast, lower, upper FROM ({AHEAD})""",
 )
 def forecast_export(spark, sf_dir):
     series = _series(spark, sf_dir)
-    exported = forecast.forecast_export(series, forecast.fit_line(series), HORIZON)
-    return _four_digits(exported, ("value", "lower", "upper"))
+    return forecast.forecast_export(series, forecast.fit_line(series), HORIZON)
 
 
 MANY = f"""fits AS (
