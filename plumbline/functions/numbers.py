@@ -61,3 +61,21 @@ def signed_text(value: Column, digits: int) -> Column:
 def fixed_text(value: Column, digits: int) -> Column:
     """Fixed decimals without grouping, e.g. ``3.5``."""
     return F.format_string(f"%.{digits}f", py_round(value, digits))
+
+
+def accurate_sum(value: Column) -> Column:
+    """The sum of doubles, to the last digit and in any order of rows.
+
+    Each value is cut into a whole number, a multiple of 2**-20 and a tiny rest. The first
+    two add up without rounding (the whole part up to 2**53), so partial sums of any
+    partitioning agree; a plain sum drifts with the order and can miss a rounding tie.
+    """
+    x = value.cast("double")
+    whole = F.rint(x)
+    rest = F.when(F.abs(x) < 4.5e15, x - whole).when(x.isNotNull(), 0.0)  # larger doubles are whole
+    steps = F.rint(rest * 2.0**20)
+    return F.sum(whole) + (F.sum(steps) / 2.0**20 + F.sum(rest - steps / 2.0**20))
+
+
+def accurate_avg(value: Column) -> Column:
+    return F.try_divide(accurate_sum(value), F.count(value).cast("double"))

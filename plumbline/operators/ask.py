@@ -10,14 +10,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import month_end, number_text, side_by_side, week_end
+from plumbline.functions import accurate_avg, accurate_sum, month_end, number_text, side_by_side, week_end
 from plumbline.functions.numbers import fixed_text, signed_text
 from plumbline.operators.anomalies import anomaly_items, anomaly_points
 from plumbline.operators.association import correlation_matrix, direction, ranked_pairs, strength
 from plumbline.operators.breakdown import group_extremes, grouped_totals, scalar_aggregate, share_of_shown, top_groups
 from plumbline.operators.coercion import prepare
 from plumbline.operators.forecast import MIN_POINTS, ForecastError, Line, fit_line, numeric_series
-from plumbline.operators.profile import duplicate_rows, histogram, iqr_bounds, table_size
+from plumbline.operators.profile import duplicate_rows, histogram, iqr_bounds, missing_pct, table_size
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.roles import Roles, pick_date, pick_dimension, pick_measure
 from plumbline.operators.timeseries import Frequency, trend, trend_ends
@@ -111,12 +111,11 @@ def forecast_growth(line: Line) -> float:
 
 def ask_summary(df: DataFrame, dimension: str | None, measure: str | None, measures: int) -> DataFrame:
     """Rows ``(line, text)``: headline figures, then recommendations."""
-    size = table_size(df)
-    missing = F.when(F.col("total_rows") > 0, F.col("missing_cells") / F.col("total_cells") * 100).otherwise(0.0)
-    parts = [size.withColumn("missing_pct", missing), duplicate_rows(df)]
+    totals: list[Column] = []
     if measure:
         x = F.col(f"`{measure}`").cast("double")
-        parts.append(df.agg(F.sum(x).alias("total"), F.avg(x).alias("mean")))
+        totals = [accurate_sum(x).alias("total"), accurate_avg(x).alias("mean")]
+    parts = [table_size(df, *totals).withColumn("missing_pct", missing_pct()), duplicate_rows(df)]
     if measure and dimension:
         parts.append(group_extremes(grouped_totals(df, dimension, measure)).select("leader", "leader_value"))
     facts = side_by_side(*parts)

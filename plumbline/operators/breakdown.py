@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import py_round, side_by_side, to_long
+from plumbline.functions import accurate_avg, accurate_sum, py_round, to_long
 from plumbline.operators.distinct import capped_distinct
-from plumbline.operators.profile import completeness, duplicate_rows, outlier_cells, score_expression, table_size
+from plumbline.operators.profile import completeness, quality_facts, score_expression
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.roles import Roles, geo_dimension, measure_columns, pick_dimension, pick_measure, variances
 
@@ -20,7 +20,7 @@ SEGMENTS = ["Low", "Medium", "High", "Top"]
 
 def total_or_zero(column: str) -> Column:
     """The sum of a measure; a group without values has the sum 0."""
-    return F.coalesce(F.sum(F.col(f"`{column}`").cast("double")), F.lit(0.0))
+    return F.coalesce(accurate_sum(F.col(f"`{column}`")), F.lit(0.0))
 
 
 def grouped_totals(df: DataFrame, dimension: str, measure: str | None) -> DataFrame:
@@ -109,7 +109,7 @@ def kpi_measures(df: DataFrame, primary: str | None = None, k: int = 4) -> DataF
     aggregates = []
     for i, c in enumerate(names):
         x = F.col(f"`{c}`").cast("double")
-        aggregates += [f(x).alias(f"{n}{i}") for n, f in (("total", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))]
+        aggregates += [f(x).alias(f"{n}{i}") for n, f in (("total", accurate_sum), ("mean", accurate_avg), ("min", F.min), ("max", F.max))]
     entries = [
         {"name": F.lit(c)}
         | {n: F.col(f"{n}{i}") for n in ("total", "mean", "min", "max")}
@@ -122,13 +122,11 @@ def kpi_measures(df: DataFrame, primary: str | None = None, k: int = 4) -> DataF
 
 def kpi_summary(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row: row, column and measure counts, quality score and completeness."""
-    size = table_size(df)
-    facts = side_by_side(size, completeness(size), duplicate_rows(df), outlier_cells(df, fences))
-    return facts.select(
+    return quality_facts(df, fences).select(
         F.col("total_rows").alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
         score_expression().alias("quality_score"),
-        "completeness",
+        completeness().alias("completeness"),
         F.lit(len(measure_columns(df))).alias("numeric_count"),
     )
 
@@ -137,11 +135,11 @@ def scalar_aggregate(df: DataFrame, measure: str, operation: str) -> DataFrame:
     """One row ``(operation, value, records)`` over the non-null values."""
     x = F.col(f"`{measure}`").cast("double")
     calculate = {
-        "average": F.avg(x),
+        "average": accurate_avg(x),
         "count": F.count(x).cast("double"),
         "maximum": F.max(x),
         "minimum": F.min(x),
-        "total": F.sum(x),
+        "total": accurate_sum(x),
     }[operation]
     return df.agg(calculate.alias("value"), F.count(x).alias("records")).select(
         F.lit(operation).alias("operation"), "value", "records"

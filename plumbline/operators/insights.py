@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import number_text, side_by_side
+from plumbline.functions import accurate_avg, accurate_sum, number_text, side_by_side
 from plumbline.functions.numbers import fixed_text, signed_text
 from plumbline.operators.association import strongest_driver
 from plumbline.operators.breakdown import group_extremes, grouped_totals
-from plumbline.operators.profile import duplicate_rows, table_size
+from plumbline.operators.profile import duplicate_rows, missing_pct, table_size
 from plumbline.operators.timeseries import trend, trend_ends
 
 # Fixed thresholds.
@@ -52,24 +52,29 @@ def insight_growth(series: DataFrame) -> DataFrame:
 
 def insight_quality(df: DataFrame) -> DataFrame:
     """One row ``(missing_pct, is_incomplete, duplicate_rows)``."""
-    pct = F.when(F.col("total_cells") > 0, F.col("missing_cells") / F.col("total_cells") * 100).otherwise(0.0)
-    size = table_size(df).select(pct.alias("missing_pct"), (pct > MISSING_RISK_PCT).alias("is_incomplete"))
-    return side_by_side(size, duplicate_rows(df))
+    size = table_size(df).select(missing_pct().alias("missing_pct"))
+    return _with_risk(side_by_side(size, duplicate_rows(df))).select("missing_pct", "is_incomplete", "duplicate_rows")
+
+
+def _with_risk(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("is_incomplete", F.col("missing_pct") > MISSING_RISK_PCT)
 
 
 def insights(df: DataFrame, primary: str | None, dimension: str | None, date: str | None) -> DataFrame:
     """Rows ``(section, ordinal, text)`` in six sections, each with at least one line."""
-    size = table_size(df).select(F.col("total_rows").alias("records"))
-    parts = [size, insight_quality(df)]
+    totals: list[Column] = []
     if primary:
         x = F.col(f"`{primary}`").cast("double")
-        parts.append(df.agg(F.sum(x).alias("measure_total"), F.avg(x).alias("measure_mean")))
+        totals = [accurate_sum(x).alias("measure_total"), accurate_avg(x).alias("measure_mean")]
+    size = table_size(df, *totals).withColumns({"missing_pct": missing_pct(), "records": F.col("total_rows")})
+    parts = [size, duplicate_rows(df)]
+    if primary:
         parts.append(insight_driver(df, primary))
     if primary and dimension:
         parts.append(insight_concentration(df, dimension, primary))
     if primary and date:
         parts.append(insight_growth(trend(df, date, primary)))
-    facts = side_by_side(*parts)
+    facts = _with_risk(side_by_side(*parts))
     blanks = {
         "measure_total": "double", "measure_mean": "double", "driver": "string", "r": "double", "effect": "string",
         "leader": "string", "leader_share": "double", "is_concentrated": "boolean", "laggard": "string",

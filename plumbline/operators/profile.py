@@ -40,18 +40,25 @@ def missing_values(df: DataFrame) -> DataFrame:
     return long.filter("missing_count > 0")
 
 
-def table_size(df: DataFrame) -> DataFrame:
-    """One row ``(total_rows, total_cells, missing_cells)``."""
+def table_size(df: DataFrame, *extra: Column) -> DataFrame:
+    """One row ``(total_rows, total_cells, missing_cells)`` and extra aggregates, from one scan."""
     width = max(len(df.columns), 1)
-    counts = df.agg(F.count("*").alias("total_rows"), *_missing_counts(df))
+    counts = df.agg(F.count("*").alias("total_rows"), *_missing_counts(df), *extra)
     missing = sum((F.col(f"missing{i}") for i in range(len(df.columns))), F.lit(0).cast("bigint"))
-    return counts.select("total_rows", (F.col("total_rows") * width).alias("total_cells"), missing.alias("missing_cells"))
+    return counts.withColumns({"total_cells": F.col("total_rows") * width, "missing_cells": missing}).drop(
+        *[f"missing{i}" for i in range(len(df.columns))]
+    )
+
 
+def missing_pct() -> Column:
+    """Percentage of missing cells, over ``table_size``."""
+    return F.when(F.col("total_rows") > 0, F.col("missing_cells") / F.col("total_cells") * 100).otherwise(0.0)
 
-def completeness(size: DataFrame) -> DataFrame:
-    """Percentage of cells with a value, from ``table_size``."""
+
+def completeness() -> Column:
+    """Percentage of cells with a value, over ``table_size``."""
     pct = py_round(100 - F.col("missing_cells") / F.col("total_cells") * 100, 1)
-    return size.select(F.when(F.col("total_rows") > 0, pct).otherwise(0.0).alias("completeness"))
+    return F.when(F.col("total_rows") > 0, pct).otherwise(0.0)
 
 
 def _row_key(field: T.StructField) -> Column:
@@ -100,17 +107,16 @@ def iqr_outliers(df: DataFrame, fences: dict[str, tuple[float, float]] | None =
     return long.filter("outlier_count > 0")
 
 
-def outlier_cells(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """One row ``(outlier_cells)`` over all measures."""
+def quality_facts(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """One row with all counts behind the score: one scan, and one shuffle for the duplicates."""
     fences = iqr_bounds(df) if fences is None else fences
-    total = sum((F.count_if(outside(c, f)) for c, f in fences.items()), F.lit(0).cast("bigint"))
-    return df.agg(total.alias("outlier_cells"))
+    outliers = sum((F.count_if(outside(c, f)) for c, f in fences.items()), F.lit(0).cast("bigint"))
+    return side_by_side(table_size(df, outliers.alias("outlier_cells")), duplicate_rows(df))
 
 
 def quality_score(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row ``(quality_score)`` from 0 to 100."""
-    facts = side_by_side(table_size(df), duplicate_rows(df), outlier_cells(df, fences))
-    return facts.select(score_expression().alias("quality_score"))
+    return quality_facts(df, fences).select(score_expression().alias("quality_score"))
 
 
 def score_expression() -> Column:
@@ -129,21 +135,25 @@ def score_expression() -> Column:
     return F.when(F.col("total_rows") > 0, bounded).otherwise(0).cast("int")
 
 
-def _listed(frame: DataFrame, order: Sequence[str], alias: str) -> DataFrame:
-    """Names of a per-column frame in table order, as one array."""
-    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("column"))
-    ordered = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("column").alias("name"))))
-    return frame.agg(F.transform(ordered, lambda s: s["name"]).alias(alias))
+def _names_where(counts: dict[str, str]) -> Column:
+    """The names of the columns whose count is above 0, in table order."""
+    named = [F.when(F.col(count) > 0, F.lit(name)) for name, count in counts.items()]
+    return F.filter(F.array(*named), lambda c: c.isNotNull()) if named else F.array().cast("array<string>")
 
 
 def quality_report(df: DataFrame, fences: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row with row count, duplicates, affected columns and suggestions."""
-    parts = side_by_side(
-        df.agg(F.count("*").alias("total_rows")),
-        duplicate_rows(df),
-        _listed(missing_values(df), df.columns, "missing_columns"),
-        _listed(iqr_outliers(df, fences), df.columns, "outlier_columns"),
+    fences = iqr_bounds(df) if fences is None else fences
+    counts = df.agg(
+        F.count("*").alias("total_rows"),
+        *_missing_counts(df),
+        *[F.count_if(outside(c, f)).alias(f"outliers{i}") for i, (c, f) in enumerate(fences.items())],
+    ).select(
+        "total_rows",
+        _names_where({c: f"missing{i}" for i, c in enumerate(df.columns)}).alias("missing_columns"),
+        _names_where({c: f"outliers{i}" for i, c in enumerate(fences)}).alias("outlier_columns"),
     )
+    parts = side_by_side(counts, duplicate_rows(df))
     found = F.filter(
         F.array(
             F.when(

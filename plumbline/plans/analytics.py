@@ -3,7 +3,7 @@
 Column roles and outlier fences are found once and reused. The blocks are lazy and each
 reads only its own columns, so the table is not persisted by default: re-reading a few
 columns of a columnar file is cheaper than keeping a whole large table. For text sources
-and joins, which every block would parse or join again, ``keep=True`` writes the prepared
+and joins, which every block would parse or join again, ``keep=True`` writes the
 table to scratch once.
 """
 
@@ -31,8 +31,7 @@ class Analytics:
         order_by: Sequence[str] | None = None,
         keep: bool = False,
     ):
-        prepared = prepare(df)
-        self.df = materialize(prepared, "prepared") if keep else prepared
+        self.df = prepare(materialize(df, "analysed") if keep else df)
         self.order_by = list(order_by) if order_by else None
         self._measure, self._dimension = measure, dimension
 

@@ -17,7 +17,7 @@ from workload.registry import query, rnd
 def breakdown_sql(dimension: str, measure: str, k: int) -> str:
     return f"""SELECT name, {rnd("value", 2)} AS value, {rnd("value / CASE WHEN shown = 0 THEN 1 ELSE shown END * 100", 1)} AS pct
 FROM (SELECT *, sum(value) OVER () AS shown FROM (
-  SELECT {dimension} AS name, coalesce(sum({measure}), 0) AS value FROM sales WHERE {dimension} IS NOT NULL
+  SELECT {dimension} AS name, coalesce(fsum({measure}), 0) AS value FROM sales WHERE {dimension} IS NOT NULL
   GROUP BY 1 ORDER BY value DESC, name LIMIT {k}))"""
 
 
@@ -34,7 +34,7 @@ def breakdown_override(spark, sf_dir):
 @query(
     "pie_slice",
     f"""WITH {SALES}
-SELECT country AS name, {rnd("sum(revenue)", 2)} AS value FROM sales GROUP BY country ORDER BY sum(revenue) DESC, name LIMIT 6""",
+SELECT country AS name, {rnd("fsum(revenue)", 2)} AS value FROM sales GROUP BY country ORDER BY fsum(revenue) DESC, name LIMIT 6""",
 )
 def pie_slice(spark, sf_dir):
     return breakdown.pie_slice(breakdown.breakdown(sales(spark, sf_dir), "country", "revenue"))
@@ -52,7 +52,7 @@ def count_breakdown(spark, sf_dir):
 @query(
     "geo_breakdown",
     f"""WITH {SALES}
-SELECT region AS name, {rnd("sum(revenue)", 2)} AS value FROM sales GROUP BY region ORDER BY sum(revenue) DESC, name LIMIT 12""",
+SELECT region AS name, {rnd("fsum(revenue)", 2)} AS value FROM sales GROUP BY region ORDER BY fsum(revenue) DESC, name LIMIT 12""",
 )
 def geo_breakdown(spark, sf_dir):
     return breakdown.geo_breakdown(sales(spark, sf_dir))
@@ -72,9 +72,9 @@ def segmentation(spark, sf_dir):
 @query(
     "kpi_measures",
     f"""WITH {SALES}, m AS (
-  SELECT 0 AS i, 'revenue' AS name, var_samp(revenue) AS v, sum(revenue) AS total, avg(revenue) AS mean, min(revenue) AS lo, max(revenue) AS hi FROM sales
-  UNION ALL SELECT 1, 'quantity', var_samp(quantity), sum(quantity), avg(quantity), min(quantity), max(quantity) FROM sales
-  UNION ALL SELECT 2, 'discount', var_samp(discount), sum(discount), avg(discount), min(discount), max(discount) FROM sales)
+  SELECT 0 AS i, 'revenue' AS name, var_samp(revenue) AS v, fsum(revenue) AS total, favg(revenue) AS mean, min(revenue) AS lo, max(revenue) AS hi FROM sales
+  UNION ALL SELECT 1, 'quantity', var_samp(quantity), fsum(quantity), favg(quantity), min(quantity), max(quantity) FROM sales
+  UNION ALL SELECT 2, 'discount', var_samp(discount), fsum(discount), favg(discount), min(discount), max(discount) FROM sales)
 SELECT name, {rnd("total", 2)} AS total, {rnd("mean", 2)} AS mean, {rnd("lo", 2)} AS min, {rnd("hi", 2)} AS max, name = 'revenue' AS is_primary
 FROM m ORDER BY v DESC, i LIMIT 4""",
 )
@@ -146,7 +146,7 @@ def anomaly_totals(spark, sf_dir):
     return anomalies.anomaly_totals(anomalies.anomaly_items(table(spark, sf_dir, "events")))
 
 
-GROUPS = """groups AS (SELECT region AS name, coalesce(sum(revenue), 0) AS value FROM sales GROUP BY region),
+GROUPS = """groups AS (SELECT region AS name, coalesce(fsum(revenue), 0) AS value FROM sales GROUP BY region),
 ends AS (
   SELECT (SELECT name FROM groups ORDER BY value DESC, name LIMIT 1) AS leader,
          (SELECT max(value) FROM groups) / (SELECT sum(value) FROM groups) * 100 AS leader_share,
@@ -184,7 +184,7 @@ MONTHS = """months AS (
   SELECT bucket, coalesce(value, 0) AS value FROM (
     SELECT last_day(CAST(m AS DATE)) AS bucket FROM (
       SELECT unnest(generate_series(date_trunc('month', min(order_date)), date_trunc('month', max(order_date)), INTERVAL 1 MONTH)) AS m FROM sales))
-  LEFT JOIN (SELECT last_day(order_date) AS bucket, sum(revenue) AS value FROM sales GROUP BY 1) USING (bucket)),
+  LEFT JOIN (SELECT last_day(order_date) AS bucket, fsum(revenue) AS value FROM sales GROUP BY 1) USING (bucket)),
 span AS (SELECT arg_min(value, bucket) AS first, arg_max(value, bucket) AS last, count(*) AS n FROM months),
 growth AS (SELECT (last - first) / abs(first) * 100 AS change FROM span WHERE n >= 2 AND first <> 0)"""
 
@@ -227,7 +227,7 @@ drivers AS (
     UNION ALL SELECT 2, 'discount', corr(revenue, discount) FROM sales) WHERE NOT isnan(r) ORDER BY abs(r) DESC, i LIMIT 1),
 driver AS (SELECT * FROM drivers WHERE abs(r) > 0.3),
 quality AS (
-  SELECT count(*) AS records, ({_NULL_CELLS}) / (count(*) * 7) * 100 AS missing_pct, sum(revenue) AS total, avg(revenue) AS mean,
+  SELECT count(*) AS records, ({_NULL_CELLS}) / (count(*) * 7) * 100 AS missing_pct, fsum(revenue) AS total, favg(revenue) AS mean,
          (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM sales GROUP BY {", ".join(SALES_COLUMNS)})) AS copies FROM sales),
 found AS (
   SELECT 0 AS s, 0 AS o, format('{{:,}}', records) || ' records across 7 columns.' AS text FROM quality
@@ -266,7 +266,7 @@ def all_insights(spark, sf_dir):
     "report_highlights",
     f"""WITH {SALES}, {MONTHS},
 size AS (
-  SELECT count(*) AS records, {_NULL_CELLS} AS missing, sum(revenue) AS total,
+  SELECT count(*) AS records, {_NULL_CELLS} AS missing, fsum(revenue) AS total,
          (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM sales GROUP BY {", ".join(SALES_COLUMNS)})) AS copies FROM sales),
 outliers AS (
   SELECT sum(n) AS n FROM ({" UNION ALL ".join(f'''

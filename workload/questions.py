@@ -64,7 +64,7 @@ def ask_route(spark, sf_dir):
 def _ranking_sql(order: str) -> str:
     return f"""WITH {SALES}
 SELECT CAST(row_number() OVER (ORDER BY value {order}, name) AS INTEGER) AS rank, name, {rnd("value", 2)} AS value FROM (
-  SELECT country AS name, sum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value {order}, name LIMIT 10)"""
+  SELECT country AS name, fsum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value {order}, name LIMIT 10)"""
 
 
 @query("ask_ranking", _ranking_sql("DESC"))
@@ -82,7 +82,7 @@ def ask_ranking_lowest(spark, sf_dir):
     "ask_breakdown",
     f"""WITH {SALES}
 SELECT name, {rnd("value", 2)} AS value, {rnd("value / sum(value) OVER () * 100", 4)} AS pct FROM (
-  SELECT country AS name, sum(quantity) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 8)""",
+  SELECT country AS name, fsum(quantity) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 8)""",
 )
 def ask_breakdown(spark, sf_dir):
     rows = ask.ask_breakdown(sales(spark, sf_dir), "country", "quantity")
@@ -94,7 +94,7 @@ def ask_breakdown(spark, sf_dir):
     f"WITH {SALES}\n"
     + "\nUNION ALL\n".join(
         f"SELECT '{name}' AS operation, {rnd(f'{f}(revenue)', 2)} AS value, count(revenue) AS records FROM sales"
-        for name, f in (("average", "avg"), ("count", "count"), ("maximum", "max"), ("minimum", "min"), ("total", "sum"))
+        for name, f in (("average", "favg"), ("count", "count"), ("maximum", "max"), ("minimum", "min"), ("total", "fsum"))
     ),
 )
 def ask_aggregate(spark, sf_dir):
@@ -122,7 +122,7 @@ def ask_distribution_facts(spark, sf_dir):
 
 SUMMARY = f"""{GROUPS},
 size AS (
-  SELECT count(*) AS records, ({_NULL_CELLS}) / (count(*) * 7) * 100 AS missing_pct, sum(revenue) AS total, avg(revenue) AS mean,
+  SELECT count(*) AS records, ({_NULL_CELLS}) / (count(*) * 7) * 100 AS missing_pct, fsum(revenue) AS total, favg(revenue) AS mean,
          (SELECT max(value) FROM groups) AS best, (SELECT leader FROM ends) AS leader,
          (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM sales GROUP BY {", ".join(SALES_COLUMNS)})) AS copies FROM sales),
 lines AS (
@@ -157,8 +157,8 @@ ANSWERS = [
     ("breakdown", "revenue split by segment"),
     ("summary", "Give me an overview"),
 ]
-_RANKED = "(SELECT country AS name, sum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 10)"
-_SHARES = "(SELECT *, value / sum(value) OVER () * 100 AS pct FROM (SELECT segment AS name, sum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 8))"
+_RANKED = "(SELECT country AS name, fsum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 10)"
+_SHARES = "(SELECT *, value / sum(value) OVER () * 100 AS pct FROM (SELECT segment AS name, fsum(revenue) AS value FROM sales GROUP BY 1 ORDER BY value DESC, name LIMIT 8))"
 
 
 @query(
@@ -169,8 +169,8 @@ SELECT 'ranking' AS intent, 'chart' AS kind,
   '### Revenue by country' || chr(10) || chr(10) || '| country | revenue |' || chr(10) || '| --- | ---: |' || chr(10) ||
   (SELECT string_agg('| ' || name || ' | ' || {number_sql("value")} || ' |', chr(10) ORDER BY value DESC, name) FROM {_RANKED}) ||
   chr(10) || chr(10) || '**' || name || '** has the highest revenue at **' || {number_sql("value")} || '**, ' ||
-  format('{{:.1f}}', value / (SELECT sum(revenue) FROM sales) * 100) || '% of the total.' AS answer FROM top
-UNION ALL SELECT 'aggregate', 'text', 'The **average discount** is **' || {number_sql("avg(discount)")} || '** across ' || CAST(count(discount) AS VARCHAR) || ' records.' FROM sales
+  format('{{:.1f}}', value / (SELECT fsum(revenue) FROM sales) * 100) || '% of the total.' AS answer FROM top
+UNION ALL SELECT 'aggregate', 'text', 'The **average discount** is **' || {number_sql("favg(discount)")} || '** across ' || CAST(count(discount) AS VARCHAR) || ' records.' FROM sales
 UNION ALL SELECT 'breakdown', 'chart', '### Revenue share by segment' || chr(10) || chr(10) ||
   (SELECT string_agg('- **' || name || '**: ' || {number_sql("value")} || ' (' || format('{{:.1f}}', pct) || '%)', chr(10) ORDER BY value DESC, name) FROM {_SHARES})
 UNION ALL SELECT 'summary', 'chart', (SELECT string_agg(text, chr(10) ORDER BY place) FROM lines)""",

@@ -22,7 +22,7 @@ def _buckets(source: str, date: str, value: str, bucket: str, step: str) -> str:
     return f"""SELECT bucket, {rnd("coalesce(value, 0)", 2)} AS value FROM (
   SELECT CAST(unnest(generate_series(CAST(min(b) AS TIMESTAMP), CAST(max(b) AS TIMESTAMP), INTERVAL {step})) AS DATE) AS bucket
   FROM (SELECT {bucket} AS b FROM {source} WHERE {date} IS NOT NULL AND {value} IS NOT NULL))
-LEFT JOIN (SELECT {bucket} AS bucket, sum({value}) AS value FROM {source} WHERE {date} IS NOT NULL GROUP BY 1) USING (bucket)"""
+LEFT JOIN (SELECT {bucket} AS bucket, fsum({value}) AS value FROM {source} WHERE {date} IS NOT NULL GROUP BY 1) USING (bucket)"""
 
 
 @query("trend_monthly", f"WITH {SALES}, {MONTHS}\nSELECT bucket, {rnd('value', 2)} AS value FROM months WHERE (SELECT n FROM span) >= 2")
