@@ -98,16 +98,12 @@ def exact_quantiles(
         wide += [_Bracket(ranks=_ranks(n, p), **whole) for p in probs]
         sketched += [(first[f"s_{v}"][2 * i], first[f"s_{v}"][2 * i + 1]) for i in range(len(probs))]
 
-    narrowed = _count(values, wide, sketched) if wide else []
-    while narrowed:
-        unsettled = []
-        for b in narrowed:
-            (settled if b.inside <= settle_rows or b.low == b.high else unsettled).append(b)
-        if not unsettled:
-            break
+    unsettled = _count(values, wide, sketched) if wide else []
+    while unsettled := _move_settled(unsettled, settled, settle_rows):
         narrowed = _count(values, unsettled, _sketch(values, unsettled, accuracy, margin))
-        if all(new.inside == old.inside for new, old in zip(narrowed, unsettled)):
-            margin *= 4  # no progress: look wider around the ranks
+        # A bracket that cannot shrink holds few, heavy values: they are picked from their counts.
+        settled += [new for new, old in zip(narrowed, unsettled) if new.inside == old.inside]
+        unsettled = [new for new, old in zip(narrowed, unsettled) if new.inside < old.inside]
 
     at_rank = _pick(values, settled)
     result: dict[str, list[float] | None] = {}
@@ -124,6 +120,13 @@ def exact_quantiles(
     return result
 
 
+def _move_settled(brackets: list[_Bracket], settled: list[_Bracket], settle_rows: int) -> list[_Bracket]:
+    """Moves brackets that are small or a single value to ``settled`` and returns the rest."""
+    done = [b for b in brackets if b.inside <= settle_rows or b.low == b.high]
+    settled += done
+    return [b for b in brackets if b not in done]
+
+
 def _ranks(n: int, prob: float) -> tuple[int, ...]:
     position = prob * (n - 1)
     return tuple(sorted({math.floor(position), math.ceil(position)}))
@@ -161,7 +164,7 @@ def _count(values: DataFrame, brackets: list[_Bracket], tighter: list[tuple[floa
         below, inside = counts[f"below{i}"], counts[f"inside{i}"]
         if below <= b.ranks[0] and b.ranks[-1] < below + inside:
             out.append(_Bracket(b.column, b.ranks, low, high, below, inside))
-        else:  # the sketch missed the rank: keep the proven bracket, the caller widens the margin
+        else:  # the sketch missed the rank: keep the proven bracket
             out.append(b)
     return out
 
