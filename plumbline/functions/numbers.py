@@ -42,8 +42,8 @@ def py_round(value: Column, digits: int = 0) -> Column:
         .when(on_tie & (error > 0), F.ceil(scaled).cast("double"))
         .otherwise(F.rint(scaled))
     )
-    # From 2**52 on every double is whole; scaling it could only overflow.
-    return F.when(F.abs(x) >= 4.5e15, x).otherwise(rounded / scale)
+    # From here on doubles lie further apart than the digits to round to.
+    return F.when(F.abs(scaled) >= 2.0**53, x).otherwise(rounded / scale)
 
 
 def number_text(value: Column) -> Column:
@@ -72,7 +72,7 @@ def accurate_sum(value: Column) -> Column:
     """
     x = value.cast("double")
     whole = F.rint(x)
-    rest = F.when(F.abs(x) < 4.5e15, x - whole).when(x.isNotNull(), 0.0)  # larger doubles are whole
+    rest = F.when(F.abs(x) < 2.0**52, x - whole).when(x.isNotNull(), 0.0)  # larger doubles are whole
     steps = F.rint(rest * 2.0**20)
     return F.sum(whole) + (F.sum(steps) / 2.0**20 + F.sum(rest - steps / 2.0**20))
 
