@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, fingerprints
+from plumbline.llm import chat, decontamination, fingerprints, langid, packing, simhash, warc
 from plumbline.llm._columns import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this library where the driver has it (a cluster installs it there or elsewhere on the path)."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def query(name: str, oracle: str | None = None):
     def register(run):
-        QUERIES[name] = run
+        @functools.wraps(run)
+        def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_workers_import(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = prepared
         if oracle is not None:
             ORACLES[name] = oracle
         return run
@@ -86,3 +102,37 @@ def op2(spark, sf_dir):
         likeness("edited_sums").alias("near_edited"),
         likeness("next_sums").alias("near_next"),
     )
+
+
+@query("op9_packing")
+def op9(spark, sf_dir):
+    from public_tokenizers import path
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_warc")
+def op7(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_chat_format")
+def op3(spark, sf_dir):
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    framed = sum(len(part) for part in chat.frame())
+    return chat.conversation_digests(chat.read_back(chat.format_conversations(rows)), framed)
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
