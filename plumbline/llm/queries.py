@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, langid, packing, simhash, warc
+from plumbline.llm import chat, decontamination, fingerprints, langid, lines, packing, repeats, simhash, toxicity, warc
 from plumbline.llm._columns import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,22 @@ def op4(spark, sf_dir):
     held_out = langid.remainder("doc_id", 4) == 2
     model = langid.fit(docs.where(~held_out))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_line_dedup")
+def op6(spark, sf_dir):
+    marked = lines.mark_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "sources", "n_links")
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))

@@ -133,3 +133,40 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
     return row[-1]
+
+
+def near_lines(lines, edits=2):
+    """For each different line, the others within so many edits."""
+    import numpy as np
+
+    lines = sorted(set(lines), key=len)
+    near = {line: [] for line in lines}
+    signs = np.zeros((len(lines), 256), dtype=np.int16)
+    for i, line in enumerate(lines):
+        for c in line:
+            signs[i, ord(c) % 256] += 1
+    sizes = np.array([len(line) for line in lines])
+    for i, a in enumerate(lines):
+        after = i + 1 + np.flatnonzero(sizes[i + 1 :] - sizes[i] <= edits)
+        after = after[np.abs(signs[after] - signs[i]).sum(axis=1) <= 2 * edits]  # each edit changes two counts
+        for j in after.tolist():
+            if edit_distance(a, lines[j]) <= edits:
+                near[a].append(lines[j])
+                near[lines[j]].append(a)
+    return near
+
+
+def line_dedup(docs, edits=2, least=24):
+    """doc_id → (lines, removed, links); ``docs`` have different ids."""
+    held = {doc: [(at, line) for at, line in enumerate((text or "").split("\n")) if len(line) >= least] for doc, text in docs}
+    near = near_lines([line for lines in held.values() for _, line in lines], edits)
+    root = components(near, near.get)
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        removed = []
+        for at, line in held[doc]:
+            if root[line] in seen:
+                removed.append(at)
+            seen.add(root[line])
+        out[doc] = (len((text or "").split("\n")), removed, sum(len(near[line]) for line in {line for _, line in held[doc]}))
+    return out

@@ -85,3 +85,23 @@ def test_packing(spark, sf_dir, tables):
         assert end <= 4096
     least = -(-sum(r["length"] for r in rows) // 4096)
     assert len(sequences) <= least * 1.01 + 1
+
+
+def test_line_dedup(spark, sf_dir, tables):
+    rows = QUERIES["op6_line_dedup"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["removed"], r["n_links"]) for r in rows} == brute.line_dedup(tables["documents"])
+    assert all(r["n_removed"] == len(r["removed"]) == len(r["sources"]) for r in rows)
+
+
+def test_toxicity(spark, sf_dir, tables):
+    rows = QUERIES["op8_toxicity"](spark, sf_dir).collect()
+    assert len(rows) == len(tables["documents"])
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in tables["labels"]]
+    right = sum(r["predicted"] == tables["labels"][r["doc_id"]] for r in held)
+    assert right >= 0.8 * len(held)
+
+
+def test_suffix_dedup(spark, sf_dir, tables):
+    got = result(spark, sf_dir, "op10_suffix_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.repeats(tables["documents"]))
