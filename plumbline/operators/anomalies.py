@@ -128,6 +128,8 @@ def anomaly_points(df: DataFrame, order_by: Sequence[str | Column], fences: Fenc
     if worst is None:
         return df.sparkSession.createDataFrame([], "t bigint, value double, is_outlier boolean")
     c = F.col(f"`{worst}`")
-    present = df.filter(c.isNotNull()).select(c.cast("double").alias("value"), *order_by)
-    indexed = row_index(present, order_by)
-    return indexed.select("t", py_round(F.col("value"), 2).alias("value"), outside("value", fences[worst]).alias("is_outlier"))
+    present = df.filter(c.isNotNull()).select(c.cast("double").alias("__value"), *order_by)
+    indexed = row_index(present, order_by, "__t")
+    return indexed.select(
+        F.col("__t").alias("t"), py_round(F.col("__value"), 2).alias("value"), outside("__value", fences[worst]).alias("is_outlier")
+    )

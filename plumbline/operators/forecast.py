@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import parse_number, py_round
-from plumbline.operators.row_index import row_index, sorted_positions
+from plumbline.operators.row_index import PART, PLACE, row_index, sorted_positions
+from plumbline.session import materialize
 
 MIN_POINTS = 3
 MAX_HORIZON = 3650
@@ -36,8 +37,8 @@ def target_value(df: DataFrame, target: str) -> Column:
 def numeric_series(df: DataFrame, target: str, order_by: Sequence[str | Column]) -> DataFrame:
     """Rows ``(t, y)``: the target's numbers by position in the given order."""
     y = target_value(df, target)
-    present = df.select(y.alias("y"), *order_by).filter(F.col("y").isNotNull())
-    return row_index(present, order_by).select("t", "y")
+    present = df.select(y.alias("__y"), *order_by).filter(F.col("__y").isNotNull())
+    return row_index(present, order_by, "__t").select(F.col("__t").alias("t"), F.col("__y").alias("y"))
 
 
 @dataclass(frozen=True)
@@ -141,53 +142,72 @@ def forecast_export(series: DataFrame, line: Line, horizon: int = 30) -> DataFra
     return history.unionByName(ahead, allowMissingColumns=True)
 
 
+MANY_SCHEMA = "status string, error string, points bigint, slope double, step int, forecast double, lower double, upper double"
+
+
 def forecast_many(df: DataFrame, key: str, target: str, order_by: Sequence[str], horizon: int = 1) -> DataFrame:
-    """One straight-line forecast per series key, failed keys included.
+    """Straight-line forecasts of all series: a row per step ahead, one row for a series that fails.
 
     Keys may differ in size by any factor: rows are range-partitioned by key and order, so
     a large series spans many partitions. Each partition contributes the sums of one key
-    slice by local position; slices are then shifted by the rows before them. The sums of
-    the positions themselves follow from the number of points.
+    slice by local position; slices are then shifted by the rows before them. A second pass
+    adds up the residuals of each slice. An unknown target and a missing key give failed rows.
     """
-    k = F.col(f"`{key}`")
-    y = target_value(df, target)
-    present = df.select(k.alias("series"), y.alias("y"), *order_by).filter(F.col("series").isNotNull())
-    numbers = present.filter(F.col("y").isNotNull())
-    tagged = sorted_positions(numbers, ["series", *order_by])
-    place = F.col("place").cast("double")
-    slices = tagged.groupBy("series", "part").agg(
+    if not 1 <= horizon <= MAX_HORIZON:
+        raise ForecastError(f"horizon must be between 1 and {MAX_HORIZON}")
+    k = F.col(f"`{key}`").alias("__series")
+    if target not in df.columns:
+        failed = df.select(k).distinct().select(F.col("__series").alias("series"), F.lit("failed").alias("status"))
+        return failed.withColumns(
+            {"error": F.lit(f"Column '{target}' not found in dataset")}
+            | {name: F.lit(None).cast(kind) for name, kind in (f.split() for f in MANY_SCHEMA.split(", ")[2:])}
+        )
+    rows = df.select(k, target_value(df, target).alias("__y"), *order_by)
+    numbers = rows.filter(F.col("__series").isNotNull() & F.col("__y").isNotNull())
+    # Both passes must see the same slices, so the tagged rows are written.
+    tagged = materialize(sorted_positions(numbers, ["__series", *order_by]).select("__series", "__y", PART, PLACE), "series")
+    slices = tagged.groupBy("__series", PART).agg(
         F.count("*").alias("n"),
-        F.min(place).alias("start"),
-        F.sum("y").alias("sum_y"),
-        F.sum(place * F.col("y")).alias("sum_py"),
+        F.min(PLACE).alias("start"),
+        F.sum("__y").alias("sum_y"),
+        F.sum(F.col(PLACE).cast("double") * F.col("__y")).alias("sum_py"),
     )
-    before = Window.partitionBy("series").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")
-    shifted = slices.withColumn("sum_ty", F.col("sum_py") + shift * F.col("sum_y"))
-    sums = shifted.groupBy("series").agg(
-        F.sum("n").alias("points"), F.sum("sum_y").alias("sy"), F.sum("sum_ty").alias("sty")
+    before = Window.partitionBy("__series").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start"))
+    sums = slices.groupBy("__series").agg(
+        F.sum("n").alias("points"), F.sum("sum_y").alias("sy"), F.sum(F.col("sum_py") + F.col("shift") * F.col("sum_y")).alias("sty")
     )
-    keys = present.groupBy("series").agg(F.var_pop("y").alias("var_y"))
     n = F.col("points").cast("double")
-    spread_t = n * (n * n - 1) / 12
-    slope = F.try_divide(F.col("sty") - (n - 1) / 2 * F.col("sy"), spread_t)
-    fitted = (
-        keys.join(sums, "series", "left")
-        .withColumn("points", F.coalesce("points", F.lit(0).cast("bigint")))
-        .withColumn("slope", slope)
-        .withColumn("intercept", F.try_divide(F.col("sy"), n) - F.col("slope") * (n - 1) / 2)
+    slope = F.try_divide(F.col("sty") - (n - 1) / 2 * F.col("sy"), n * (n * n - 1) / 12)
+    lines = sums.select("__series", "points", slope.alias("slope"), (F.col("sy") / n).alias("mean"))
+    lines = lines.withColumn("intercept", F.col("mean") - F.col("slope") * (n - 1) / 2)
+    # A slice lies within one partition, so joining on it gathers no more than a partition holds.
+    fits = slices.select("__series", PART, "shift").join(lines.select("__series", "slope", "intercept"), "__series")
+    residual = F.col("__y") - F.col("intercept") - F.col("slope") * (F.col(PLACE) + F.col("shift"))
+    squares = (
+        tagged.join(fits, ["__series", PART])
+        .groupBy("__series", PART)
+        .agg(F.sum(residual * residual).alias("ss"))
+        .groupBy("__series")
+        .agg(F.sum("ss").alias("ss"))
     )
-    residual = F.greatest(F.col("var_y") * n - F.col("slope") * F.col("slope") * spread_t, F.lit(0.0))
-    value = F.col("intercept") + F.col("slope") * (n + horizon - 1)
-    margin = BAND * F.sqrt(F.try_divide(residual, n))
-    ready = F.col("points") >= MIN_POINTS
-    too_few = F.format_string(f"Column '{target}' has too few numeric points (%d) to forecast", "points")
-    return fitted.select(
-        "series",
+    keys = rows.select("__series").distinct()
+    fitted = keys.join(lines, "__series", "left").join(squares, "__series", "left")
+    fitted = fitted.withColumn("points", F.coalesce("points", F.lit(0).cast("bigint")))
+    ready = F.col("__series").isNotNull() & (F.col("points") >= MIN_POINTS)
+    too_few = F.concat(F.lit(f"Column '{target}' has too few numeric points ("), F.col("points").cast("string"), F.lit(") to forecast"))
+    error = F.when(F.col("__series").isNull(), F.lit(f"Rows without a value in column '{key}'")).when(~ready, too_few)
+    steps = F.when(ready, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(None).cast("int")))
+    ahead = fitted.withColumn("step", F.explode(steps))
+    value = F.col("intercept") + F.col("slope") * (F.col("points") + F.col("step") - 1)
+    margin = BAND * F.sqrt(F.try_divide(F.col("ss"), F.col("points").cast("double")))
+    return ahead.select(
+        F.col("__series").alias("series"),
         F.when(ready, "done").otherwise("failed").alias("status"),
-        F.when(~ready, too_few).alias("error"),
+        error.alias("error"),
         "points",
         F.when(ready, py_round(F.col("slope"), 6)).alias("slope"),
+        "step",
         F.when(ready, py_round(value, 4)).alias("forecast"),
         F.when(ready, py_round(value - margin, 4)).alias("lower"),
         F.when(ready, py_round(value + margin, 4)).alias("upper"),

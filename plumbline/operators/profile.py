@@ -290,11 +290,13 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 def preview(df: DataFrame, order_by: Sequence[str | Column], limit: int = 50) -> DataFrame:
     """The first rows in the given order (a sorted limit, never a full sort)."""
-    return df.orderBy(*order_by).limit(min(limit, 200))
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return df.orderBy(*order_by).limit(limit)
 
 
 def preview_size(df: DataFrame, limit: int = 50) -> DataFrame:
     """One row ``(total_rows, previewed_rows)``."""
     return df.agg(F.count("*").alias("total_rows")).withColumn(
-        "previewed_rows", F.least("total_rows", F.lit(min(limit, 200)).cast("bigint"))
+        "previewed_rows", F.least("total_rows", F.lit(limit).cast("bigint"))
     )

@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE_LIMIT = 500
-AUDIT_LIMIT = 200
+from plumbline.operators.row_index import row_index
+
 REPORTS_PER_PAGE = 9
+#: Rows up to which a page is cut from one end by a sorted limit; deeper pages number the rows instead.
+SHALLOW = 10_000
 
 
 def owned_join(facts: DataFrame, owned: DataFrame, key: str, owner: str, owner_value: object | None = None) -> DataFrame:
@@ -34,26 +36,57 @@ def contains_search(df: DataFrame, column: str, query: str) -> DataFrame:
 def catalog_page(
     df: DataFrame,
     order_by: Sequence[Column],
-    limit: int = 50,
+    limit: int | None = None,
     offset: int = 0,
     owner: tuple[str, object] | None = None,
     statuses: tuple[str, Sequence[str]] | None = None,
-    most: int = PAGE_LIMIT,
 ) -> DataFrame:
-    """One page, newest first by the given order, of one owner and some statuses."""
+    """Rows of one owner and some statuses in the given order; all of them, or one page.
+
+    A page that starts or ends deep in the table numbers the rows, so that no task keeps all before it.
+    """
+    if limit is not None and limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1 and offset not below 0")
     out = df
     if owner:
         out = out.filter(F.col(owner[0]) == F.lit(owner[1]))
     if statuses:
         out = out.filter(F.col(statuses[0]).isin(list(statuses[1])))
-    limit, offset = min(max(limit, 1), most), max(offset, 0)
-    return out.orderBy(*order_by).offset(offset).limit(limit)
+    if limit is None and not offset:
+        return out.orderBy(*order_by)
+    if limit is not None and offset + limit <= SHALLOW:
+        return out.orderBy(*order_by).offset(offset).limit(limit)
+    return _numbered_rows(out, order_by, offset, None if limit is None else offset + limit)
+
+
+def _numbered_rows(df: DataFrame, order_by: Sequence[Column], start: int, end: int | None) -> DataFrame:
+    """Rows from ``start`` to before ``end`` of the order, without keeping those before them in one task."""
+    numbered = row_index(df, order_by, "__at")
+    inside = F.col("__at") >= start
+    return numbered.filter(inside if end is None else inside & (F.col("__at") < end)).drop("__at").orderBy(*order_by)
 
 
-def numbered_page(df: DataFrame, order_by: Sequence[Column], page: int, size: int = REPORTS_PER_PAGE) -> DataFrame:
-    """A page by number from 0; numbers beyond the last page give the last page."""
-    pages = max(1, -(-df.count() // size))
-    return df.orderBy(*order_by).offset(min(page, pages - 1) * size).limit(size)
+def ordering(keys: Sequence[tuple[str, bool]], backwards: bool = False) -> list[Column]:
+    """Sort columns for ``(name, ascending)`` keys; ``backwards`` gives exactly the reversed order."""
+    return [F.col(name).asc() if ascending != backwards else F.col(name).desc() for name, ascending in keys]
+
+
+def numbered_page(df: DataFrame, keys: Sequence[tuple[str, bool]], page: int, size: int = REPORTS_PER_PAGE) -> DataFrame:
+    """A page by number from 0; numbers beyond the last page give the last page.
+
+    The order is given as ``(name, ascending)`` and ends in a unique column. A page near the end is cut
+    from the reversed order, one deep in the middle by row numbers.
+    """
+    if page < 0 or size < 1:
+        raise ValueError("page must not be below 0 and size at least 1")
+    rows = df.count()
+    start = min(page, max(1, -(-rows // size)) - 1) * size
+    end = min(rows, start + size)
+    if end <= SHALLOW:
+        return df.orderBy(*ordering(keys)).offset(start).limit(size)
+    if rows - start <= SHALLOW:
+        return df.orderBy(*ordering(keys, backwards=True)).offset(rows - end).limit(end - start).orderBy(*ordering(keys))
+    return _numbered_rows(df, ordering(keys), start, end)
 
 
 def multi_sort(df: DataFrame, keys: Sequence[tuple[str, bool]], tie: str, zero_for_null: Sequence[str] = ()) -> list[Column]:
@@ -138,5 +171,6 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def audit_page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    return catalog_page(events, [F.desc("created_at"), F.asc("id")], limit, offset, most=AUDIT_LIMIT)
+def audit_page(events: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """Entries, newest first; ``limit=None`` gives all from the offset on."""
+    return catalog_page(events, [F.desc("created_at"), F.asc("id")], limit, offset)

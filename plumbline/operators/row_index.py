@@ -11,6 +11,8 @@ from plumbline.session import materialize
 
 # monotonically_increasing_id() keeps the row number within a partition in its low bits.
 _LOCAL_BITS = (1 << 33) - 1
+#: Reserved names: columns of a table are not called so.
+PART, PLACE, SKIPPED = "__part", "__place", "__skipped"
 
 
 def sorted_positions(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
@@ -24,8 +26,8 @@ def sorted_positions(df: DataFrame, order_by: Sequence[str | Column]) -> DataFra
         .sortWithinPartitions(*order_by)
         .withColumns(
             {
-                "part": F.spark_partition_id(),
-                "place": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS)),
+                PART: F.spark_partition_id(),
+                PLACE: F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS)),
             }
         )
     )
@@ -39,11 +41,11 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "t")
     The offsets frame has one row per partition, which bounds the window and the broadcast.
     """
     tagged = materialize(sorted_positions(df, order_by), "row-index")
-    sizes = tagged.groupBy("part").agg(F.count("*").alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped"))
+    sizes = tagged.groupBy(PART).agg(F.count("*").alias("rows"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(PART, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(SKIPPED))
     return (
-        tagged.join(F.broadcast(offsets), "part")
-        .withColumn(name, F.col("skipped") + F.col("place"))
-        .drop("part", "place", "skipped")
+        tagged.join(F.broadcast(offsets), PART)
+        .withColumn(name, F.col(SKIPPED) + F.col(PLACE))
+        .drop(PART, PLACE, SKIPPED)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,31 +17,53 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+WIDE = "decimal(38,0)"
 
 # Doubled quotes inside quoted fields, and no trimming: padding is data.
 _QUOTING = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether a record spans lines: then some line holds an odd number of quotes."""
+def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
+    """Files in which a record spans lines: some line holds an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).filter(quotes % 2 == 1)
+    return sorted(row[0] for row in lines.select(F.col("_metadata.file_path")).distinct().collect())
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> DataFrame:
     """Read files with a header; missing tokens become null and column types are inferred.
 
-    Files are split across tasks unless a record really spans several lines. Types come
-    from one aggregate over all columns, after the missing tokens are gone.
+    A file is split across tasks unless one of its own records spans several lines. Types
+    come from one aggregate over all columns, after the missing tokens are gone.
     """
     if multiline is None:
-        multiline = has_quoted_line_breaks(spark, path)
-    raw = spark.read.options(**_QUOTING, mode="FAILFAST", multiLine=multiline).csv(path)
+        raw = _read_each(spark, path, files_with_line_breaks(spark, path))
+    else:
+        raw = _parse(spark, path, multiline)
     texts = raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return infer_types(texts) if infer else texts
 
 
+def _parse(spark: SparkSession, path: str | list[str], multiline: bool) -> DataFrame:
+    return spark.read.options(**_QUOTING, mode="FAILFAST", multiLine=multiline).csv(path)
+
+
+def _plain_path(uri: str) -> str:
+    """A file's path as readers take it; ``file:///a`` and ``file:/a`` are the same."""
+    return re.sub(r"^(\w+):/{3,}", r"\1:/", unquote(uri))
+
+
+def _read_each(spark: SparkSession, path: str, broken: list[str]) -> DataFrame:
+    """Files with records over several lines whole, the others split."""
+    if not broken:
+        return _parse(spark, path, False)
+    broken = sorted(map(_plain_path, broken))
+    plain = sorted(set(map(_plain_path, spark.read.text(path).inputFiles())).difference(broken))
+    whole = _parse(spark, broken, True)
+    return _parse(spark, plain, False).select(*[f"`{c}`" for c in whole.columns]).union(whole) if plain else whole
+
+
 def null_tokens(c: Column) -> Column:
     return F.when(c.isin(NA_TOKENS), None).otherwise(c)
 
@@ -53,6 +78,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         tests += [
             F.count(c).alias(f"present{i}"),
             F.count_if(c.rlike(INTEGER_PATTERN)).alias(f"whole{i}"),
+            F.count(F.trim(c).try_cast("bigint")).alias(f"long{i}"),
+            F.count(F.trim(c).try_cast(WIDE)).alias(f"wide{i}"),
             F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"number{i}"),
             F.count_if(c.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"flag{i}"),
         ]
@@ -61,8 +88,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
         present = fits[f"present{i}"]
-        if present and fits[f"whole{i}"] == present:
-            c = F.trim(c).cast("bigint")
+        if present and fits[f"whole{i}"] == fits[f"wide{i}"] == present:  # all digits are kept
+            c = F.trim(c).cast("bigint" if fits[f"long{i}"] == present else WIDE)
         elif present and fits[f"number{i}"] == present:
             c = parse_number(c)
         elif present and fits[f"flag{i}"] == present:

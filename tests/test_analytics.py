@@ -121,6 +121,26 @@ def test_many_forecasts_with_one_huge_series(spark):
     assert found["big"].upper - found["big"].forecast == pytest.approx(margin, abs=1e-3)
 
 
+def test_forecast_many_on_a_steep_line(spark):
+    df = spark.range(2000).select(F.lit("s").alias("margin %"), F.col("id").alias("y"), (1e6 + 3.7 * F.col("id")).alias("t %d"))
+    rows = forecast.forecast_many(df.repartition(4), "margin %", "t %d", ["y"], horizon=3).orderBy("step").collect()
+    assert [r.step for r in rows] == [1, 2, 3]
+    for r in rows:
+        want = round(1e6 + 3.7 * (1999 + r.step), 4)
+        assert (r.forecast, r.lower, r.upper) == (want, want, want)
+    assert forecast.numeric_series(df, "t %d", ["y"]).count() == 2000
+
+
+def test_forecast_many_failures(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(5)] + [("a", 0, 1.0), ("a", 1, 2.0)], "k string, i int, `x %` double")
+    rows = {r.series: r for r in forecast.forecast_many(df, "k", "x %", ["i"]).collect()}
+    assert rows[None].status == "failed" and rows[None].error == "Rows without a value in column 'k'"
+    assert rows["a"].error == "Column 'x %' has too few numeric points (2) to forecast" and rows["a"].step is None
+    unknown = forecast.forecast_many(df, "k", "nope", ["i"])
+    assert unknown.columns == forecast.forecast_many(df, "k", "x %", ["i"]).columns
+    assert {(r.series, r.status, r.error) for r in unknown.collect()} == {(k, "failed", "Column 'nope' not found in dataset") for k in (None, "a")}
+
+
 def test_anomaly_wording(spark):
     calm = spark.range(10).withColumnRenamed("id", "v")
     items = anomalies.anomaly_items(calm)

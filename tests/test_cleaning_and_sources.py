@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,10 +77,32 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {(None, 10, True, 1.5, None), (" pad ", 20, False, None, None), ('a "q", b', 30, True, 2.0, None)}
 
 
+def test_csv_whole_numbers_keep_their_digits(spark, tmp_path):
+    _write(tmp_path / "w.csv", "a,b,c\n9007199254740993123,99999999999999999999,1\n12345678901234567,1,123456789012345678901234567890123456789\n")
+    df = csv_files.read_csv(spark, str(tmp_path / "w.csv"))
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)", "double"]
+    assert sorted(r.a for r in df.collect()) == [12345678901234567, 9007199254740993123]
+    assert max(r.b for r in df.collect()) == 99999999999999999999
+
+
+def test_csv_files_without_line_breaks_are_split(spark, tmp_path):
+    lines = "".join(f"{i},row number {i}\n" for i in range(40_000))
+    _write(tmp_path / "in" / "long.csv", "k,t\n" + lines)
+    _write(tmp_path / "in" / "broken.csv", 'k,t\n-1,"two\nlines"\n')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = csv_files.read_csv(spark, f"{tmp_path}/in")
+        assert df.rdd.getNumPartitions() > 5
+        assert df.count() == 40_001 and df.filter("k = -1").first().t == "two\nlines"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_csv_line_breaks_are_found(spark, tmp_path):
     _write(tmp_path / "b.csv", 'k,t\n1,"two\nlines"\n2,one\n')
     path = str(tmp_path / "b.csv")
-    assert csv_files.has_quoted_line_breaks(spark, path)
+    assert len(csv_files.files_with_line_breaks(spark, path)) == 1
     assert {tuple(r) for r in csv_files.read_csv(spark, path).collect()} == {(1, "two\nlines"), (2, "one")}
 
 
@@ -138,6 +161,13 @@ def test_intake(spark, tmp_path):
     ]
     assert (found[1].safe_name, found[1].source_type, found[6].source_type) == ("my_file.csv", "csv", "pdf")
     assert found[9].reason == intake.SEEN_BEFORE and found[3].reason == "Uploaded file is empty"
+    odd = spark.createDataFrame(
+        [("a.csv", 5, 1), ("a.csv", 5, 1), ("a.csv", 5, 2), (None, 5, 1), ("b.csv", None, 1), ("b.csv", None, 2)],
+        "name string, size bigint, arrival int",
+    ).selectExpr("*", "'' AS mime", "CAST('a' AS binary) AS head")
+    rows = intake.file_intake(odd).collect()
+    assert sorted((r.name or "", r.status) for r in rows) == [("", "error")] + [("a.csv", "duplicate")] * 2 + [("a.csv", "queued")] + [("b.csv", "error")] * 2
+    assert all(r.reason for r in rows if r.status != "queued")
     _write(tmp_path / "in" / "a.pdf", "%PDF-x")
     _write(tmp_path / "in" / "b.pdf", "hello")
     real = {r.name: r.status for r in intake.file_intake(intake.list_files(spark, f"{tmp_path}/in")).collect()}
@@ -191,6 +221,28 @@ def test_pages_and_search(spark):
     newest = [F.desc("created_at"), F.asc("id")]
     assert [r.id for r in relational.catalog_page(df, newest, 2, 2).collect()] == [17, 16]
     assert relational.catalog_page(df, newest, 500, 0, owner=("owner", "nobody")).count() == 0
-    assert [r.id for r in relational.numbered_page(df, newest, 99).collect()] == [1, 0]
+    assert relational.catalog_page(df, newest).count() == 20
+    for limit, offset in ((0, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            relational.catalog_page(df, newest, limit, offset)
+    keys = [("created_at", False), ("id", True)]
+    assert [r.id for r in relational.numbered_page(df, keys, 99).collect()] == [1, 0]
     assert relational.contains_search(df, "name", " NAME 1 ").count() == 11
     assert relational.contains_search(df, "name", " ").count() == 20
+
+
+def test_pages_of_a_large_table(spark, monkeypatch):
+    """No plan keeps more than a page and what a sorted limit may hold."""
+    monkeypatch.setattr(relational, "SHALLOW", 10)
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    keys = [("k", True), ("id", False)]
+    want = sorted(((r.k, -r.id) for r in df.collect()))
+    for page in (0, 1, 5, 10, 11, 50):
+        got = [(r.k, -r.id) for r in relational.numbered_page(df, keys, page).collect()]
+        start = min(page, 11) * 9
+        assert got == want[start : start + 9], page
+    deep = relational.catalog_page(df, relational.ordering(keys), 20, 50)
+    assert [(r.k, -r.id) for r in deep.collect()] == want[50:70]
+    plan = relational.numbered_page(df, keys, 50)._jdf.queryExecution().executedPlan().toString()
+    limits = [int(n) for n in re.findall(r"limit=(\d+)", plan)]
+    assert limits and max(limits) <= 9

@@ -59,7 +59,19 @@ SELECT * FROM catalog ORDER BY created_at DESC, id LIMIT 9 OFFSET (SELECT least(
 )
 def last_page(spark, sf_dir):
     """A page number beyond the end gives the last page."""
-    return relational.numbered_page(catalog(spark, sf_dir), newest(), page=100_000_000)
+    return relational.numbered_page(catalog(spark, sf_dir), [("created_at", False), ("id", True)], page=100_000_000)
+
+
+@query("catalog_all", f"WITH {CATALOG}\nSELECT * FROM catalog WHERE status = 'F'")
+def catalog_all(spark, sf_dir):
+    """Without a limit a listing is whole."""
+    return relational.catalog_page(catalog(spark, sf_dir), newest(), statuses=("status", ["F"]))
+
+
+@query("deep_page", f"WITH {CATALOG}\nSELECT * FROM catalog ORDER BY created_at DESC, id LIMIT 700 OFFSET 10000")
+def deep_page(spark, sf_dir):
+    """A page beyond the reach of a sorted limit."""
+    return relational.catalog_page(catalog(spark, sf_dir), newest(), 700, 10_000)
 
 
 @query(
@@ -193,6 +205,6 @@ def rows_per_dataset(spark, sf_dir):
     return relational.rows_per_dataset(named, newest())
 
 
-@query("audit_page", f"WITH {ACTIVITY}\nSELECT * FROM activity ORDER BY created_at DESC, id LIMIT 200 OFFSET 50")
+@query("audit_page", f"WITH {ACTIVITY}\nSELECT * FROM activity ORDER BY created_at DESC, id LIMIT 1000 OFFSET 50")
 def audit_page(spark, sf_dir):
     return relational.audit_page(activity(spark, sf_dir), limit=1000, offset=50)

@@ -143,22 +143,26 @@ def forecast_export(spark, sf_dir):
     return forecast.forecast_export(series, forecast.fit_line(series), HORIZON)
 
 
-MANY = f"""fits AS (
+MANY = f"""lines AS (
   SELECT series, count(y) AS points, CASE WHEN count(y) >= 3 THEN regr_slope(y, t) END AS slope,
-         CASE WHEN count(y) >= 3 THEN regr_intercept(y, t) END AS intercept,
-         CASE WHEN count(y) >= 3 THEN greatest(var_pop(y) * count(y) - regr_slope(y, t) * regr_slope(y, t) * var_pop(t) * count(y), 0) END AS ss
-  FROM numbered GROUP BY series)
+         CASE WHEN count(y) >= 3 THEN regr_intercept(y, t) END AS intercept
+  FROM numbered GROUP BY series),
+fits AS (
+  SELECT l.series, points, any_value(slope) AS slope, any_value(intercept) AS intercept, sum((y - intercept - slope * t) ** 2) AS ss
+  FROM numbered JOIN lines l USING (series) GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN points >= 3 THEN CAST(s AS INTEGER) END AS step FROM fits JOIN range(1, HORIZON + 1) r(s) ON points >= 3 OR s = 1)
 SELECT series, CASE WHEN points >= 3 THEN 'done' ELSE 'failed' END AS status,
        CASE WHEN points < 3 THEN 'Column ''value'' has too few numeric points (' || CAST(points AS VARCHAR) || ') to forecast' END AS error,
-       points, {rnd("slope", 6)} AS slope, {rnd("intercept + slope * points", 4)} AS forecast,
-       {rnd("intercept + slope * points - 1.96 * sqrt(ss / points)", 4)} AS lower, {rnd("intercept + slope * points + 1.96 * sqrt(ss / points)", 4)} AS upper
-FROM fits"""
+       points, {rnd("slope", 6)} AS slope, step, {rnd("intercept + slope * (points + step - 1)", 4)} AS forecast,
+       {rnd("intercept + slope * (points + step - 1) - 1.96 * sqrt(ss / points)", 4)} AS lower,
+       {rnd("intercept + slope * (points + step - 1) + 1.96 * sqrt(ss / points)", 4)} AS upper
+FROM steps"""
 
 
 @query(
     "forecast_many",
     f"""WITH numbered AS (SELECT user_id AS series, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
-{MANY}""",
+{MANY.replace("HORIZON", "1")}""",
 )
 def forecast_many(spark, sf_dir):
     return forecast.forecast_many(table(spark, sf_dir, "events"), "user_id", "value", ORDER)
@@ -167,8 +171,8 @@ def forecast_many(spark, sf_dir):
 @query(
     "forecast_many_large_series",
     f"""WITH numbered AS (SELECT event_type AS series, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events),
-{MANY}""",
+{MANY.replace("HORIZON", "30")}""",
 )
 def forecast_many_large_series(spark, sf_dir):
-    """A handful of series, each far larger than one partition should hold."""
-    return forecast.forecast_many(table(spark, sf_dir, "events"), "event_type", "value", ORDER)
+    """A handful of series, each far larger than one partition should hold, thirty steps ahead."""
+    return forecast.forecast_many(table(spark, sf_dir, "events"), "event_type", "value", ORDER, horizon=30)
