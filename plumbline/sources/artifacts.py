@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.sources.csv_files import read_csv
-from plumbline.sources.sql_dumps import read_sql_dumps, sql_dump_rows
+from plumbline.sources.sql_dumps import read_sql_table
 
 
 class UnsupportedSource(ValueError):
@@ -17,7 +17,7 @@ class UnsupportedSource(ValueError):
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv": read_csv,
-    "sql": lambda spark, path: sql_dump_rows(read_sql_dumps(spark, path)),
+    "sql": read_sql_table,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 

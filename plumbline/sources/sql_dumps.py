@@ -1,24 +1,37 @@
-"""Rows of SQL dump files, taken from their text with Spark expressions.
+"""Tables of SQL dump files, taken from their text with Spark expressions.
 
 Accepted: ``CREATE TABLE`` and ``INSERT INTO ... VALUES`` with literals (numbers, quoted
-text, NULL). Statements are found by pattern, not executed. All repeated groups in the
-patterns are possessive, so long statements neither backtrack nor recurse.
+text, NULL), and comments. Statements are found by pattern, not executed; a script whose
+rows hold anything else is rejected. All repeated groups in the patterns are possessive,
+so long statements neither backtrack nor recurse.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ATTACH = "ATTACH DATABASE statements are not permitted in uploaded SQL"
 NO_TABLE = "No CREATE TABLE statement found in the uploaded SQL file"
+NOT_LITERAL = "Only literal values are supported in INSERT statements"
+NO_SUCH_COLUMN = "An INSERT statement does not fit the columns of its table"
+
+
+class SqlDumpError(ValueError):
+    """Scripts that do not make one table."""
+
 
 _NAME = r"[`\"\[]?(\w+)[`\"\]]?"
+_COMMENT = r"('[^']*+')|--[^\n]*+|/\*(?s:.*?)\*/"
 _CREATE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}"
+_COLUMNS = rf"{_CREATE}\s*\(((?:[^()']*+(?:\([^()]*+\)|'[^']*+')?+)*+)\)"
+_CONSTRAINT = r"(?i)^\s*(?:PRIMARY|FOREIGN|UNIQUE|CHECK|CONSTRAINT|KEY|INDEX)\b"
 _INSERT_HEAD = rf"INSERT\s+INTO\s+{_NAME}\s*(?:\(([^)]*+)\)\s*)?VALUES"
 _INSERT = rf"(?i){_INSERT_HEAD}[^;']*+(?:'[^']*+'[^;']*+)*+"
 _TUPLE = r"\(([^'()]*+(?:'[^']*+'[^'()]*+)*+)\)"
 _FIELD = r"\s*([^',]*+(?:'[^']*+'[^',]*+)*+),"
+_LITERAL = r"\s*+(?:(?i:NULL)|[+-]?+(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][+-]?+\d++)?+|(?:'[^']*+')++)\s*+"
+_LITERALS = rf"\({_LITERAL}(?:,{_LITERAL})*+\)"
 
 
 def read_sql_dumps(spark: SparkSession, path: str) -> DataFrame:
@@ -27,30 +40,97 @@ def read_sql_dumps(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("script"))
 
 
+def without_comments(script: Column) -> Column:
+    """Quoted text stays, comments become nothing."""
+    return F.regexp_replace(script, _COMMENT, "$1")
+
+
+def _bare(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(name), r"[`\"\[\]]", ""))
+
+
+def _table_columns(script: Column) -> Column:
+    """Structs ``(name, type)`` of the first table's columns."""
+    body = F.regexp_replace(F.regexp_extract(script, _COLUMNS, 2), r"\([^()]*\)", "")
+    parts = F.filter(F.split(body, ","), lambda p: (F.trim(p) != "") & ~p.rlike(_CONSTRAINT))
+    words = lambda p: F.split(F.trim(p), r"\s+")
+    kind = lambda w: F.upper(F.coalesce(F.get(w, F.lit(1)), F.lit("")))
+    typed = lambda t: (
+        F.when(t.contains("INT"), "bigint").when(t.rlike("REAL|FLOA|DOUB|NUMERIC|DECIMAL"), "double").otherwise("string")
+    )
+    return F.transform(parts, lambda p: F.struct(_bare(F.get(words(p), F.lit(0))).alias("name"), typed(kind(words(p))).alias("type")))
+
+
+def _own_inserts(scripts: DataFrame) -> DataFrame:
+    """Statements that insert into the first table: ``statement``, ``named`` (its column list) and ``body``."""
+    statements = scripts.select(
+        "path", "table", "columns", F.posexplode(F.regexp_extract_all("script", F.lit(_INSERT), F.lit(0))).alias("statement", "text")
+    )
+    own = statements.filter(F.lower(F.regexp_extract("text", f"(?i){_INSERT_HEAD}", 1)) == F.lower("table"))
+    listed = F.regexp_extract("text", f"(?i){_INSERT_HEAD}", 2)
+    named = F.when(F.trim(listed) == "", F.col("columns.name")).otherwise(F.transform(F.split(listed, ","), _bare))
+    return own.withColumns({"named": named, "body": F.regexp_replace("text", f"(?i)^{_INSERT_HEAD}", "")})
+
+
 def check_sql_dumps(scripts: DataFrame) -> DataFrame:
-    """Adds ``table``, the first table of each script, and ``error``, null when readable."""
+    """Adds ``table``, the first table of each script, its ``columns``, and ``error``, null when readable.
+
+    ``script`` comes back without comments.
+    """
     s = F.col("script")
-    table = F.regexp_extract(s, _CREATE, 1)
-    error = F.when(s.rlike(r"(?i)\battach\s+database\b"), NO_ATTACH).when(table == "", NO_TABLE)
-    return scripts.withColumns({"table": table, "error": error})
+    bare = scripts.withColumn("script", without_comments(s)).withColumns({"table": F.regexp_extract(s, _CREATE, 1), "columns": _table_columns(s)})
+    rest = F.regexp_replace("body", _LITERALS, "")
+    known = F.size(F.array_except("named", "columns.name")) == 0
+    fields = F.regexp_extract_all(F.concat(F.regexp_extract("body", _TUPLE, 1), F.lit(",")), F.lit(_FIELD), F.lit(1))
+    faults = _own_inserts(bare).select(
+        "path", F.when(~rest.rlike(r"^[\s,;]*$"), 1).when(~known | (F.size(fields) != F.size("named")), 2).alias("fault")
+    )
+    worst = faults.groupBy("path").agg(F.min("fault").alias("fault"))
+    error = (
+        F.when(s.rlike(r"(?i)\battach\s+database\b"), NO_ATTACH)
+        .when(F.col("table") == "", NO_TABLE)
+        .when(F.col("fault") == 1, NOT_LITERAL)
+        .when(F.col("fault") == 2, NO_SUCH_COLUMN)
+    )
+    return bare.join(worst, "path", "left").withColumn("error", error).drop("fault")
 
 
 def sql_dump_rows(scripts: DataFrame) -> DataFrame:
     """Rows ``(path, table, statement, row_no, values)`` of each readable script's first table.
 
-    ``statement`` and ``row_no`` (within the statement) keep the order of the file.
+    Values come in the order of the table's columns, null for columns that a statement does not
+    name. ``statement`` and ``row_no`` (within the statement) keep the order of the file.
     """
-    readable = check_sql_dumps(scripts).filter(F.col("error").isNull())
-    statements = readable.select(
-        "path", "table", F.posexplode(F.regexp_extract_all("script", F.lit(_INSERT), F.lit(0))).alias("statement", "text")
-    )
-    own = statements.filter(F.lower(F.regexp_extract("text", f"(?i){_INSERT_HEAD}", 1)) == F.lower("table"))
-    body = F.regexp_replace("text", f"(?i)^{_INSERT_HEAD}", "")
+    own = _own_inserts(check_sql_dumps(scripts).filter(F.col("error").isNull()))
     rows = own.select(
-        "path", "table", "statement", F.posexplode(F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(1))).alias("row_no", "fields")
+        "path",
+        "table",
+        "statement",
+        F.col("columns.name").alias("names"),
+        "named",
+        F.posexplode(F.regexp_extract_all("body", F.lit(_TUPLE), F.lit(1))).alias("row_no", "fields"),
     )
     fields = F.regexp_extract_all(F.concat("fields", F.lit(",")), F.lit(_FIELD), F.lit(1))
-    return rows.select("path", "table", "statement", "row_no", F.transform(fields, _literal).alias("values"))
+    given = F.transform(fields, _literal)
+    ordered = F.transform("names", lambda n: F.get(given, (F.array_position("named", n) - 1).cast("int")))
+    values = F.when(F.col("names") == F.col("named"), given).otherwise(ordered)
+    return rows.select("path", "table", "statement", "row_no", values.alias("values"))
+
+
+def read_sql_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that the dumps under ``path`` hold, with the types of its CREATE TABLE.
+
+    All scripts must be readable and define the same table; otherwise ``SqlDumpError``.
+    """
+    scripts = read_sql_dumps(spark, path)
+    facts = check_sql_dumps(scripts).groupBy("error", "columns").agg(F.min("path").alias("path")).limit(20).collect()
+    if faults := sorted(f"{row['error']} ({row['path']})" for row in facts if row["error"]):
+        raise SqlDumpError("; ".join(faults))
+    if len(facts) != 1:
+        raise SqlDumpError("The scripts do not define one table")
+    columns = facts[0]["columns"]
+    rows = sql_dump_rows(scripts)
+    return rows.select(*[F.get("values", F.lit(i)).try_cast(c["type"]).alias(c["name"]) for i, c in enumerate(columns)])
 
 
 def _literal(field):

@@ -123,6 +123,27 @@ def test_sql_dumps(spark, tmp_path):
     assert {r.table for r in rows} == {"people"}
 
 
+def test_sql_dump_table(spark, tmp_path):
+    script = (
+        "CREATE TABLE t (a INT, b VARCHAR(9), c DECIMAL(9, 2), PRIMARY KEY (a)); -- INSERT INTO t VALUES (0, 'no', 0)\n"
+        "INSERT INTO t (b, a) VALUES ('-- kept /* too */', 1);\n/* INSERT INTO t VALUES (9, 'no', 9); */ INSERT INTO t VALUES (2, 'it''s', 1e2);"
+    )
+    _write(tmp_path / "d" / "t.sql", script)
+    df = artifacts.read_source(spark, f"{tmp_path}/d/t.sql")
+    assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double")]
+    assert sorted(map(tuple, df.collect())) == [(1, "-- kept /* too */", None), (2, "it's", 100.0)]
+
+
+@pytest.mark.parametrize(
+    ("insert", "error"),
+    [("(3, lower('Q'))", sql_dumps.NOT_LITERAL), ("(1, 'a'), (2, b)", sql_dumps.NOT_LITERAL), ("(1)", sql_dumps.NO_SUCH_COLUMN), ("(1, 2 + 3)", sql_dumps.NOT_LITERAL)],
+)
+def test_sql_dump_rejections(spark, tmp_path, insert, error):
+    _write(tmp_path / "x.sql", f"CREATE TABLE t (a INT, b TEXT); INSERT INTO t VALUES {insert};")
+    with pytest.raises(sql_dumps.SqlDumpError, match=error):
+        sql_dumps.read_sql_table(spark, f"{tmp_path}/x.sql")
+
+
 def test_long_insert_statement(spark):
     values = ", ".join(f"({i}, 'name ''{i}''')" for i in range(20_000))
     scripts = spark.createDataFrame([("p", f"CREATE TABLE t (a INT, b TEXT); INSERT INTO t VALUES {values};")], "path string, script string")
@@ -189,10 +210,12 @@ def test_stream_profiles_each_file_once(spark, tmp_path):
     out = f"{tmp_path}/out"
     first = ingest_once(spark, f"{tmp_path}/in", schema, out)
     assert [(r.status, r.row_count, r.missing_cells) for r in first.collect()] == [("cleaned", 2, 1)]
+    _write(tmp_path / "in" / "empty.csv", "k,v\n")
     _write(tmp_path / "in" / "b.csv", "k,v\nx,not a number\n")
     second = {os.path.basename(r.path): r for r in ingest_once(spark, f"{tmp_path}/in", schema, out).collect()}
-    assert set(second) == {"a.csv", "b.csv"} and second["b.csv"].error == PARSE_ERROR
-    assert ingest_once(spark, f"{tmp_path}/in", schema, out).count() == 2
+    assert set(second) == {"a.csv", "b.csv", "empty.csv"} and second["b.csv"].error == PARSE_ERROR
+    assert (second["empty.csv"].status, second["empty.csv"].row_count, second["empty.csv"].column_count) == ("cleaned", 0, 2)
+    assert ingest_once(spark, f"{tmp_path}/in", schema, out).count() == 3
 
 
 def test_chunks_join_back_to_the_text(spark):

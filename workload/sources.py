@@ -5,7 +5,8 @@ from pyspark.sql import types as T
 
 from plumbline.operators.relational import append_audit
 from plumbline.session import scratch_path
-from plumbline.sources import artifacts, csv_files, intake, page_text, sql_dumps
+from plumbline.sources import artifacts, csv_files, intake, page_text
+from plumbline.streaming.ingest import file_profiles
 from plumbline.streaming.ingest import ingest_profile as profile_stream
 from workload.inputs import ACTIVITY, EVENTS_DIRTY, activity, events_dirty, table
 from workload.registry import query
@@ -32,19 +33,24 @@ def csv_texts(spark, sf_dir):
 DUMP_ROWS = 500
 
 
-@query("sql_dump_rows", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("sql_dump_rows", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def sql_dump_rows(spark, sf_dir):
-    """The customers as SQL dump files of at most 500 rows, read back as a table."""
+    """The customers as SQL dump files of at most 500 rows, read back as a typed table.
+
+    Comments and quoted signs stand between the statements, and columns come in another order.
+    """
     customer = table(spark, sf_dir, "customer")
     quoted = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))
     row = F.concat(
         F.lit("("),
-        F.concat_ws(", ", F.col("c_custkey"), quoted("c_name"), F.col("c_nationkey"), F.col("c_acctbal"), quoted("c_mktsegment")),
+        F.concat_ws(", ", quoted("c_name"), F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal"), quoted("c_mktsegment")),
         F.lit(")"),
     )
     head = (
-        "CREATE TABLE customer (c_custkey BIGINT, c_name VARCHAR(25), c_nationkey INT, c_acctbal DOUBLE, c_mktsegment VARCHAR(10));\n"
-        "CREATE TABLE other (x INT);\nINSERT INTO other VALUES (1);\nINSERT INTO customer VALUES\n"
+        "-- INSERT INTO customer VALUES (0, 'it''s a comment', 0, 0, 'x');\n"
+        "CREATE TABLE customer (c_custkey BIGINT PRIMARY KEY, c_name VARCHAR(25), c_nationkey INT, c_acctbal DECIMAL(12, 2), c_mktsegment VARCHAR(10),"
+        " UNIQUE (c_custkey));\nCREATE TABLE other (x INT);\nINSERT INTO other VALUES (lower('y'));\n"
+        "/* INSERT INTO customer VALUES (1); */ INSERT INTO customer (c_name, c_custkey, c_nationkey, c_acctbal, c_mktsegment) VALUES\n"
     )
     scripts = (
         customer.select(F.floor(F.col("c_custkey") / DUMP_ROWS).alias("file"), row.alias("row"))
@@ -55,9 +61,7 @@ def sql_dump_rows(spark, sf_dir):
     scripts.select(F.encode("script", "utf-8").alias("value")).select(F.decode("value", "utf-8").alias("value")).write.option(
         "maxRecordsPerFile", 1
     ).text(path)
-    rows = sql_dumps.sql_dump_rows(sql_dumps.read_sql_dumps(spark, path))
-    columns = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
-    return rows.select(*[F.get("values", i).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
+    return artifacts.read_source(spark, path, "sql")
 
 
 @query(
@@ -75,10 +79,13 @@ def page_text_corpus(spark, sf_dir):
 @query(
     "unreadable_documents",
     """SELECT page_id, 'No extractable text found' AS error FROM pages
-WHERE length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) = 0""",
+WHERE page_id % 10 = 0 OR length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) = 0""",
 )
 def unreadable_documents(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "").alias("text"))
+    """Every tenth page keeps only its markup, as a scanned page would."""
+    markup = F.array_join(F.regexp_extract_all("html", F.lit("(<[^>]*>)"), F.lit(1)), " \n")
+    html = F.when(F.col("page_id") % 10 == 0, markup).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(html, "<[^>]*>", "").alias("text"))
     return page_text.unreadable_documents(pages, ["page_id"])
 
 
@@ -176,7 +183,30 @@ def ingest_profile(spark, sf_dir):
     )
     stream = profile_stream(spark, f"{root}/landing", f"{root}/profiles", f"{root}/checkpoint", schema, files_per_batch=2)
     stream.awaitTermination()
-    files = spark.read.parquet(f"{root}/profiles/files")
-    return files.groupBy("status", "column_count").agg(
+    return file_profiles(spark, f"{root}/profiles", schema).groupBy("status", "column_count").agg(
         F.sum("row_count").alias("row_count"), F.sum("missing_cells").alias("missing_cells")
     )
+
+
+@query(
+    "ingest_duplicates",
+    f"""WITH {EVENTS_DIRTY}, files AS (
+  SELECT CASE WHEN value IS NULL THEN 'gaps' WHEN event_type IS NULL THEN 'untyped' ELSE 'full' END AS file,
+         (event_type, value, nullif(user_text, 'n/a'), day_text) AS cells FROM events_dirty)
+SELECT batches, file, count(*) AS row_count, count(*) - count(DISTINCT cells) AS duplicate_rows FROM files, (VALUES ('one'), ('each')) b(batches) GROUP BY ALL""",
+)
+def ingest_duplicates(spark, sf_dir):
+    """Repeated rows are counted within a file, however files fall into batches."""
+    file = F.when(F.col("value").isNull(), "gaps").when(F.col("event_type").isNull(), "untyped").otherwise("full")
+    root, out = scratch_path(spark, "ingest"), None
+    rows = events_dirty(spark, sf_dir).withColumn("file", file).repartition("file")
+    quoting = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.partitionBy("file").options(header=True, emptyValue="", nullValue="", **quoting).csv(f"{root}/landing")
+    schema = T.StructType.fromDDL("event_type string, value double, user_text string, day_text string")
+    for batches, files in (("one", 1000), ("each", 1)):
+        profile_stream(spark, f"{root}/landing/*", f"{root}/{batches}", f"{root}/checkpoint-{batches}", schema, files).awaitTermination()
+        named = file_profiles(spark, f"{root}/{batches}", schema).select(
+            F.lit(batches).alias("batches"), F.regexp_extract("path", "file=([a-z]+)", 1).alias("file"), "row_count", "duplicate_rows"
+        )
+        out = named if out is None else out.unionByName(named)
+    return out.groupBy("batches", "file").agg(F.sum("row_count").alias("row_count"), F.sum("duplicate_rows").alias("duplicate_rows"))
