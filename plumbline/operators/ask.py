@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ AGGREGATES = [
     ("minimum", r"min|lowest"),
 ]
 EMPTY_ANSWER = "The dataset appears to be empty, so there is nothing to analyze."
+NEEDS_ORDER = "A forecast needs a date column or an order of the rows."
 HORIZON = 6
 
 
@@ -189,11 +191,19 @@ class Assistant:
             return Answer("empty", self._line(F.lit(EMPTY_ANSWER)))
         for intent, pattern in INTENTS:
             if _says(question, pattern):
-                answer = getattr(self, f"_{intent}")(question)
+                try:
+                    answer = getattr(self, f"_{intent}")(question)
+                except (PySparkException, ForecastError):  # the next intent may still have an answer
+                    answer = None
                 if answer is not None:
                     return answer
         return self._summary(question)
 
+    @cached_property
+    def value_counts(self) -> dict[str, int]:
+        """Values of each measure, from one scan."""
+        return value_counts(self.df, self.roles.measures)
+
     def _measure(self, question: str) -> str | None:
         return pick_measure(self.df, question)
 
@@ -265,12 +275,11 @@ class Assistant:
             series = monthly_series(self.df, date, measure)
         elif self.order_by:
             series = numeric_series(self.df, measure, self.order_by)
-        else:
-            return None
-        try:
-            line = fit_line(series, measure)
-        except ForecastError:
+        elif self.value_counts[measure] < MIN_POINTS:
             return None
+        else:  # rows of a table have no order of their own
+            return Answer("forecast", self._line(F.lit(NEEDS_ORDER)))
+        line = fit_line(series, measure)
         rows = ask_forecast(line, self.df.sparkSession)
         text = F.concat(
             F.lit(f"### {measure.title()} forecast\n\nProjecting a linear trend, **{measure}** is expected to reach **"),
@@ -324,14 +333,15 @@ class Assistant:
             F.lit(" ("), strength(r), F.lit(" "), direction(r), F.lit(")"),
         )
         head = F.lit("### Correlation analysis\n\nStrongest relationships between numeric columns:\n\n")
-        return Answer("correlation", ranked.agg(F.concat(head, _joined(line)).alias("answer")), correlation_matrix(self.df))
+        return Answer("correlation", ranked.agg(F.concat(head, _joined(line)).alias("answer")), correlation_matrix(self.df, digits=3))
 
     def _distribution(self, question: str) -> Answer | None:
         measure = self._measure(question)
-        if not measure:
+        if not measure or not self.value_counts[measure]:
             return None
         facts = distribution_facts(self.df, measure)
-        value = lambda c: F.concat(F.lit("**"), number_text(F.col(c)), F.lit("**"))
+        # One value has no deviation; the text says so instead of vanishing.
+        value = lambda c: F.concat(F.lit("**"), F.coalesce(number_text(F.col(c)), F.lit("nan")), F.lit("**"))
         text = F.concat(
             F.lit(f"### Distribution of {measure}\n\n- Mean: "), value("mean"), F.lit(", Std dev: "), value("std"),
             F.lit("\n- Range: "), value("low"), F.lit(" to "), value("high"), F.lit("\n- Median: "), value("median"),
@@ -390,34 +400,59 @@ class Abilities:
     measures: tuple[str, ...]
     dimensions: tuple[str, ...]
     dates: tuple[str, ...]
-    trends: tuple[Frequency, ...]
-    has_forecast: bool
+    measure: str | None  # of a question that names none
+    date: str | None
+    values: dict[str, int]  # of each measure
+    trends: dict[tuple[str, str], tuple[Frequency, ...]]  # of each measure and date
+    forecasts: frozenset[tuple[str, str | None]]
+    ordered: bool
     has_outliers: bool
+    has_pairs: bool
 
     @classmethod
     def of(cls, df: DataFrame, order_by: Sequence[str] | None = None) -> Abilities:
-        """For an already prepared table. Bucket counts follow from the first and last month."""
+        """For an already prepared table. Bucket counts follow from the first and last month.
+
+        One scan looks at every pair of a measure and a date, since a question may name either.
+        """
         roles = Roles.of(df)
-        measure, date = pick_measure(df), pick_date(df)
-        trends: tuple[Frequency, ...] = ()
-        points = 0
-        if measure and date:
-            present = df.filter(F.col(f"`{measure}`").isNotNull())
-            first = F.min(F.col(f"`{date}`")).cast("date")
-            last = F.max(F.col(f"`{date}`")).cast("date")
-            row = present.agg(
-                (F.months_between(F.trunc(last, "MM"), F.trunc(first, "MM")) + 1).alias("months"),
-                (month_end(last) > month_end(first)).alias("month"),
-                (week_end(last) > week_end(first)).alias("week"),
-                (last > first).alias("day"),
-            ).first()
-            trends = tuple(f for f in ("month", "week", "day") if row[f])
-            points = row["months"] or 0
-        elif measure and order_by:
-            points = df.filter(F.col(f"`{measure}`").isNotNull()).count()
+        values = value_counts(df, roles.measures)
+        pairs = [(m, d) for m in roles.measures for d in roles.dates]
+        edges = []
+        for i, (m, d) in enumerate(pairs):
+            day = F.when(F.col(f"`{m}`").isNotNull(), F.col(f"`{d}`")).cast("date")
+            edges += [F.min(day).alias(f"first{i}"), F.max(day).alias(f"last{i}")]
+        row = df.agg(F.lit(0), *edges).select(
+            F.lit(0),
+            *[
+                c
+                for i in range(len(pairs))
+                for first, last in [(F.col(f"first{i}"), F.col(f"last{i}"))]
+                for c in (
+                    (F.months_between(F.trunc(last, "MM"), F.trunc(first, "MM")) + 1).alias(f"months{i}"),
+                    (month_end(last) > month_end(first)).alias(f"month{i}"),
+                    (week_end(last) > week_end(first)).alias(f"week{i}"),
+                    (last > first).alias(f"day{i}"),
+                )
+            ],
+        ).first()
+        trends = {p: tuple(f for f in ("month", "week", "day") if row[f"{f}{i}"]) for i, p in enumerate(pairs)}
+        forecasts = {p for i, p in enumerate(pairs) if (row[f"months{i}"] or 0) >= MIN_POINTS}
+        if not roles.dates:
+            forecasts = {(m, None) for m, n in values.items() if n >= MIN_POINTS}
         fences = iqr_bounds(df)
         counted = df.agg(F.lit(0), *[F.count_if((F.col(f"`{c}`") < lo) | (F.col(f"`{c}`") > hi)) for c, (lo, hi) in fences.items()]).first()
-        return cls(roles.measures, roles.dimensions, roles.dates, trends, points >= MIN_POINTS, any(counted))
+        has_pairs = len(roles.measures) > 1 and not ranked_pairs(df, roles.measures).isEmpty()
+        return cls(
+            roles.measures, roles.dimensions, roles.dates, pick_measure(df), pick_date(df), values, trends,
+            frozenset(forecasts), bool(order_by), any(counted), has_pairs,
+        )
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Non-null values of each column, from one scan."""
+    row = df.agg(F.lit(0), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
 
 def _matches(question: Column, pattern: str) -> Column:
@@ -447,27 +482,35 @@ def route_questions(questions: DataFrame, text: str, can: Abilities) -> DataFram
     is nothing to join.
     """
     q = F.col(text)
+    frequency = _choose(q, GRANULARITY, "month")
+    # What the question names decides, as it does for a single question.
+    measure = F.coalesce(mentioned_column(q, can.measures), F.lit(can.measure).cast("string"))
+    date = F.coalesce(mentioned_column(q, can.dates), F.lit(can.date).cast("string"))
+    none = F.lit(False)
+    trends, forecasts = none, none
+    for (m, d), found in can.trends.items():
+        trends = trends | ((measure == m) & (date == d) & frequency.isin(list(found)) if found else none)
+    for m, d in can.forecasts:
+        forecasts = forecasts | ((measure == m) & (date == d if d else F.lit(True)))
     able = {
-        "forecast": bool(can.measures) and can.has_forecast,
-        "anomaly": bool(can.measures),
-        "trend": bool(can.measures and can.dates and can.trends),
-        "ranking": bool(can.measures and can.dimensions),
-        "correlation": len(can.measures) >= 2,
-        "distribution": bool(can.measures),
-        "breakdown": bool(can.dimensions),
-        "aggregate": bool(can.measures),
-        "summary": True,
+        "forecast": F.coalesce(forecasts, none),
+        "anomaly": F.lit(bool(can.measures)),
+        "trend": F.coalesce(trends, none),
+        "ranking": F.lit(bool(can.measures and can.dimensions)),
+        "correlation": F.lit(can.has_pairs),
+        "distribution": F.coalesce(measure.isin([m for m, n in can.values.items() if n]), none),
+        "breakdown": F.lit(bool(can.dimensions)),
+        "aggregate": F.lit(bool(can.measures)),
+        "summary": F.lit(True),
     }
-    frequency = _choose(q, GRANULARITY, "month")
     chosen = F.when(F.lit(False), "")
     for name, pattern in INTENTS:
-        if able[name]:
-            hit = _matches(q, pattern)
-            chosen = chosen.when(hit & frequency.isin(list(can.trends)) if name == "trend" else hit, name)
+        chosen = chosen.when(_matches(q, pattern) & able[name], name)
     intent = chosen.otherwise("summary")
-    charted = [name for name in able if name not in ("anomaly", "aggregate", "summary")]
+    charted = [name for name in able if name not in ("anomaly", "aggregate", "summary", "forecast")]
     charted += ["anomaly"] if can.has_outliers else []
     charted += ["summary"] if can.measures and can.dimensions else []
+    charted += ["forecast"] if can.dates or can.ordered else []
     return questions.withColumn("intent", intent).withColumns(
         {
             "granularity": frequency,

@@ -106,13 +106,13 @@ def _spread(squares: Column, total: Column, n: Column) -> Column:
     return F.when(spread > squares * 1e-12, spread).otherwise(0.0)
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """Rows ``(a, b, corr)`` for every ordered pair; none with fewer than two measures."""
     names = list(measure_columns(df) if columns is None else columns)
     if len(names) < 2:
         return pair_correlations(df, []).drop("ordinal")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    upper = pair_correlations(df, pairs).select("a", "b", py_round(F.col("corr"), 4).alias("corr"))
+    upper = pair_correlations(df, pairs).select("a", "b", py_round(F.col("corr"), digits).alias("corr"))
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "corr"))).otherwise(
         F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     )

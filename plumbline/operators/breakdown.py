@@ -6,6 +6,8 @@ more than any other; only one row per group and map task is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,11 @@ def kpi_summary(df: DataFrame, fences: dict[str, tuple[float, float]] | None = N
 
 def scalar_aggregate(df: DataFrame, measure: str, operation: str) -> DataFrame:
     """One row ``(operation, value, records)`` over the non-null values."""
+    return scalar_aggregates(df, measure, [operation])
+
+
+def scalar_aggregates(df: DataFrame, measure: str, operations: Sequence[str]) -> DataFrame:
+    """Rows ``(operation, value, records)`` over the non-null values, from one scan."""
     x = F.col(f"`{measure}`").cast("double")
     calculate = {
         "average": accurate_avg(x),
@@ -140,10 +147,10 @@ def scalar_aggregate(df: DataFrame, measure: str, operation: str) -> DataFrame:
         "maximum": F.max(x),
         "minimum": F.min(x),
         "total": accurate_sum(x),
-    }[operation]
-    return df.agg(calculate.alias("value"), F.count(x).alias("records")).select(
-        F.lit(operation).alias("operation"), "value", "records"
-    )
+    }
+    facts = df.agg(F.count(x).alias("records"), *[calculate[o].alias(f"v{i}") for i, o in enumerate(operations)])
+    rows = [F.struct(F.lit(o).alias("operation"), F.col(f"v{i}").alias("value"), F.col("records")) for i, o in enumerate(operations)]
+    return facts.select(F.inline(F.array(*rows)))
 
 
 def group_extremes(totals: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import anomalies, forecast, insights, timeseries
-from plumbline.operators.ask import EMPTY_ANSWER, Abilities, Assistant, ask, route_questions
+from plumbline.operators.ask import EMPTY_ANSWER, NEEDS_ORDER, Abilities, Assistant, ask, route_questions
 from plumbline.operators.coercion import prepare
 from plumbline.operators.row_index import row_index
 from plumbline.plans.analytics import Analytics
@@ -196,3 +196,23 @@ def test_intents_without_columns_fall_through(spark):
     assert ask(notes, "highest revenue trend").intent == "summary"
     assert ask(notes, "share of notes").intent == "breakdown"
     assert ask(notes.limit(0), "anything").text.first().answer == EMPTY_ANSWER
+
+
+def test_routers_agree_on_what_a_question_names(spark, t_sales):
+    """A measure without values, and one with a single value, beside good ones."""
+    gaps = t_sales.withColumns({"w": F.lit(None).cast("double"), "z": F.when(F.col("revenue") == 900, 5.0)})
+    asked = [f"{what} {name}" for what in ("trend of", "distribution of", "forecast", "highest", "total") for name in ("w", "z", "revenue")]
+    asked += ["w by day", "weekly trend of z", "correlation of w", *QUESTIONS]
+    assistant = Assistant(gaps, ["date"])
+    single = {q: assistant.ask(q) for q in asked}
+    can = Abilities.of(prepare(gaps), ["date"])
+    routed = {r.q: r.intent for r in route_questions(spark.createDataFrame([(q,) for q in asked], "q string"), "q", can).collect()}
+    assert routed == {q: a.intent for q, a in single.items()}
+    assert routed["trend of w"] == routed["distribution of w"] == "summary"
+    assert "- Mean: **5**, Std dev: **nan**" in single["distribution of z"].text.first().answer
+
+
+def test_undated_forecast_asks_for_an_order(spark):
+    rows = spark.createDataFrame([(i, float(3 * i)) for i in range(8)], "i int, sales double").select("sales", F.col("i").cast("string").alias("k"))
+    assert ask(rows.select("sales"), "forecast sales").text.first().answer == NEEDS_ORDER
+    assert ask(rows.withColumn("k", F.concat(F.lit("k"), "k")), "forecast sales", ["k"]).kind == "chart"

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import number_text, py_round
 from plumbline.operators import ask, conversations
-from plumbline.operators.breakdown import scalar_aggregate
+from plumbline.operators.breakdown import scalar_aggregates
 from plumbline.operators.coercion import prepare
 from plumbline.session import materialize
 from workload.analytics import GROUPS, _NULL_CELLS, SALES_COLUMNS, number_sql
@@ -98,11 +100,8 @@ def ask_breakdown(spark, sf_dir):
     ),
 )
 def ask_aggregate(spark, sf_dir):
-    df, out = sales(spark, sf_dir), None
-    for operation in ("average", "count", "maximum", "minimum", "total"):
-        row = scalar_aggregate(df, "revenue", operation).withColumn("value", py_round(F.col("value"), 2))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = scalar_aggregates(sales(spark, sf_dir), "revenue", ("average", "count", "maximum", "minimum", "total"))
+    return rows.withColumn("value", py_round(F.col("value"), 2))
 
 
 @query("ask_distribution", histogram_sql("value", "events", most=12, least=3))
@@ -184,18 +183,110 @@ def ask_answers(spark, sf_dir):
     return out
 
 
+_BREAK = "chr(10) || chr(10)"
+#: Events without their JSON text, and the columns that are measures there.
+_EVENTS = "e AS (SELECT event_id, ts, user_id, event_type, value FROM events)"
+_MEASURES = ("event_id", "user_id", "value")
+
+
+def _long_sql(measures=_MEASURES) -> str:
+    """Values of all measures, one below the other, as the table ``v``."""
+    return "v AS (" + " UNION ALL ".join(f"SELECT {i} AS place, '{m}' AS name, CAST({m} AS DOUBLE) AS x FROM e" for i, m in enumerate(measures)) + ")"
+
+
+def _distribution_sql(measure: str, source: str) -> str:
+    bold = lambda x: f"'**' || coalesce({number_sql(x)}, 'nan') || '**'"
+    return (
+        f"(SELECT '### Distribution of {measure}' || {_BREAK} || '- Mean: ' || {bold(f'avg({measure})')} || ', Std dev: ' || {bold(f'stddev_samp({measure})')} "
+        f"|| chr(10) || '- Range: ' || {bold(f'min({measure})')} || ' to ' || {bold(f'max({measure})')} || chr(10) || '- Median: ' "
+        f"|| {bold(f'quantile_cont({measure}, 0.5)')} FROM {source})"
+    )
+
+
+_ANOMALY_SQL = f"""(SELECT '### Anomaly detection' || {_BREAK} || 'Outliers found using the IQR (1.5×) rule:' || {_BREAK} || string_agg(
+    '- **' || name || '**: ' || CAST(n AS VARCHAR) || ' outlier(s) outside [' || {number_sql("low")} || ', ' || {number_sql("high")} || ']', chr(10) ORDER BY n DESC, place)
+  FROM (SELECT place, name, any_value(low) AS low, any_value(high) AS high, count(*) AS n FROM v JOIN (
+    SELECT place, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (
+      SELECT place, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY place)) f USING (place) WHERE x < low OR x > high GROUP BY ALL))"""
+_TREND_SQL = f"""(SELECT '### Value trend' || {_BREAK} || 'Over the period, **value** ' ||
+    CASE WHEN change > 1 THEN 'increased' WHEN change < -1 THEN 'decreased' ELSE 'stayed flat' END || ' by **' || format('{{:+.1f}}', change) ||
+    '%** (from ' || {number_sql("first")} || ' to ' || {number_sql("last")} || ').' || {_BREAK} ||
+    '- Peak: **' || {number_sql("peak.y")} || '** on ' || CAST(peak.d AS VARCHAR) || chr(10) || '- Low: **' || {number_sql("low.y")} || '** on ' || CAST(low.d AS VARCHAR)
+  FROM (SELECT *, CASE WHEN first = 0 THEN 0 ELSE (last - first) / abs(first) * 100 END AS change FROM (
+    SELECT min_by(y, d) AS first, max_by(y, d) AS last, min_by({{'d': d, 'y': y}}, (-y, d)) AS peak, min_by({{'d': d, 'y': y}}, (y, d)) AS low FROM days)))"""
+_DAYS = """days AS (SELECT CAST(r.d AS DATE) AS d, coalesce(sum(value), 0) AS y FROM (
+  SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS d FROM e) r LEFT JOIN e ON CAST(e.ts AS DATE) = r.d GROUP BY 1)"""
+_CORRELATION_SQL = f"""(SELECT '### Correlation analysis' || {_BREAK} || 'Strongest relationships between numeric columns:' || {_BREAK} || string_agg(
+    '- **' || a || '** ↔ **' || b || '**: ' || format('{{:+.2f}}', r) || ' (' || CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' ELSE 'weak' END
+    || CASE WHEN r > 0 THEN ' positive)' ELSE ' negative)' END, chr(10) ORDER BY abs(r) DESC, place) FROM (
+  {" UNION ALL ".join(f"SELECT {i} AS place, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM e" for i, (a, b) in enumerate(combinations(_MEASURES, 2)))}))"""
+_OVERVIEW_SQL = f"""(SELECT '### Key insights' || {_BREAK} || '- **' || format('{{:,}}', n) || ' rows** across **5 columns**' || chr(10) ||
+    '- Total **value**: **' || {number_sql("total")} || '** (avg ' || {number_sql("total / filled")} || ')' || chr(10) ||
+    '- Top **event_type**: **' || top.name || '** (' || {number_sql("top.y")} || ')' || chr(10) ||
+    '- Data completeness: **' || format('{{:.1f}}', 100 - missing / (n * 5) * 100) || '%**' || {_BREAK} || '### Recommendations' || {_BREAK} ||
+    '- Focus on the leading **event_type** segments driving **value**.' || chr(10) || '- Explore correlations between numeric metrics to find growth drivers.'
+  FROM (SELECT count(*) AS n, sum(value) AS total, count(value) AS filled,
+    5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value) AS missing FROM e),
+    (SELECT max_by({{'name': event_type, 'y': y}}, y) AS top FROM (SELECT event_type, sum(value) AS y FROM e GROUP BY 1)))"""
+#: Questions beyond the first four, with what answers them. The events span a month, too little for a forecast.
+MORE = {
+    "Find anomalies": ("anomaly", _ANOMALY_SQL),
+    "daily trend of value": ("trend", _TREND_SQL),
+    "strongest correlations": ("correlation", _CORRELATION_SQL),
+    "distribution of value": ("distribution", _distribution_sql("value", "e")),
+    "forecast value": ("summary", _OVERVIEW_SQL),
+}
+
+
+def _answers(assistant, asked):
+    out = None
+    for question in asked:
+        answer = assistant.ask(question)
+        row = answer.text.select(F.lit(question).alias("question"), F.lit(answer.intent).alias("intent"), F.lit(answer.kind).alias("kind"), "answer")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "ask_more_answers",
+    f"WITH {_EVENTS}, {_long_sql()}, {_DAYS}\n"
+    + "\nUNION ALL\n".join(f"SELECT '{q}' AS question, '{i}' AS intent, 'chart' AS kind, {sql} AS answer" for q, (i, sql) in MORE.items()),
 )
 def ask_more_answers(spark, sf_dir):
     """The remaining intents, on events with a row order."""
     events = prepare(table(spark, sf_dir, "events").drop("props"))
-    assistant, out = ask.Assistant(events, ["ts", "event_id"]), None
-    for question in ("Find anomalies", "daily trend of value", "strongest correlations", "distribution of value", "forecast value"):
-        answer = assistant.ask(question)
-        row = answer.text.select(F.lit(question).alias("question"), F.lit(answer.intent).alias("intent"), F.lit(answer.kind).alias("kind"), "answer")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return _answers(ask.Assistant(events, ["ts", "event_id"]), MORE)
+
+
+_MONTHLY = """m AS (SELECT CAST(r.d AS DATE) AS d, row_number() OVER (ORDER BY r.d) - 1 AS t, coalesce(y, 0) AS y FROM (
+  SELECT unnest(generate_series(date_trunc('month', min(order_date)), date_trunc('month', max(order_date)), INTERVAL 1 MONTH)) AS d FROM sales) r
+  LEFT JOIN (SELECT date_trunc('month', order_date) AS d, fsum(revenue) AS y FROM sales GROUP BY 1) s ON s.d = r.d)"""
+
+
+@query(
+    "ask_answer_forecast",
+    f"""WITH {SALES}, {_MONTHLY}, line AS (SELECT regr_slope(y, t) AS slope, regr_intercept(y, t) AS start, count(*) AS n, avg(y) AS mean FROM m)
+SELECT 'forecast revenue' AS question, 'forecast' AS intent, 'chart' AS kind,
+  '### Revenue forecast' || {_BREAK} || 'Projecting a linear trend, **revenue** is expected to reach **' || {number_sql("(slope * (n + 5) + start)")} ||
+  '** in 6 periods (' || CASE WHEN slope > 0 THEN 'growing' ELSE 'declining' END || ' ~' || format('{{:+.1f}}', slope / abs(mean) * 100) ||
+  '% per period on average).' || {_BREAK} || '_Method: ordinary least-squares trend fit on ' || CAST(n AS VARCHAR) || ' observed periods._' AS answer FROM line""",
+)
+def ask_answer_forecast(spark, sf_dir):
+    return _answers(ask.Assistant(sales(spark, sf_dir).select("order_date", "revenue")), ["forecast revenue"])
+
+
+@query(
+    "ask_answer_gaps",
+    f"""WITH e AS (SELECT ts, CASE WHEN event_id = 7 THEN value END AS once, value FROM events)
+SELECT 'distribution of once' AS question, 'distribution' AS intent, 'chart' AS kind, {_distribution_sql("once", "e")} AS answer
+UNION ALL SELECT 'distribution of value', 'distribution', 'chart', {_distribution_sql("value", "e")}
+UNION ALL SELECT 'total never', 'aggregate', 'text', 'The **total value** is **' || {number_sql("fsum(value)")} || '** across ' || CAST(count(value) AS VARCHAR) || ' records.' FROM e""",
+)
+def ask_answer_gaps(spark, sf_dir):
+    """A measure with a single value, and a question that names none."""
+    once = F.when(F.col("event_id") == 7, F.col("value"))
+    events = table(spark, sf_dir, "events").select("ts", once.alias("once"), "value")
+    return _answers(ask.Assistant(events), ["distribution of once", "distribution of value", "total never"])
 
 
 @query(
