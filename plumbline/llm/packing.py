@@ -15,6 +15,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,53 +29,96 @@ from plumbline.session import materialize
 CAPACITY = 4096
 #: Coarse lengths of the patterns.
 GRAINS = 64
-#: Words whose ids a worker remembers, and characters tokenized together.
-CACHE_WORDS = 300_000
+#: Texts between white space whose ids a worker remembers, the words in them, and characters tokenized together.
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 700_000
 BATCH_CHARS = 500_000
 
-_words: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Letters, then ASCII signs other than the apostrophe: the tokenizer cuts between them whatever they are.
+#: Lower case makes a letter and a mark of İ alone, and the mark would join the signs.
+_LETTERS_SIGNS = re.compile(r"([^\W\d_İ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+class _Ids:
+    """The ids of texts, by a tokenizer that drops white space and case and cuts letters from signs."""
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _words[path] = {"": b""}
-    return _tokenizers[path], _words[path]
+    by_path: dict[str, _Ids] = {}
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def _split(text: str) -> list[str]:
-    """Cut at plain white space, which no token of the tokenizer spans."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = any(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> _Ids:
+        if path not in cls.by_path:
+            cls.by_path[path] = cls(path)
+        return cls.by_path[path]
+
+    def split(self, text: str) -> list[str]:
+        """Cut at plain white space, which no token spans. ASCII case goes first, unless a special token may be meant."""
+        if not (self.special and "<|" in text):
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, start = ids.astype("<u4").tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.words[word] = data[start:end]
+            start = end
+
+    def _learn_any(self, texts: list[str]) -> None:
+        if texts:
+            found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            owner = np.array(found.word_ids, dtype=np.int64)
+            self._cut(texts, np.array(found.ids, dtype=np.int64), np.searchsorted(owner, np.arange(len(texts)), side="right"))
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Many words in one go; each ends with its only token that ends a word."""
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                self._cut(words, ids, ends)
+            else:  # lower case has made several words of one
+                self._learn_any(words)
+
+    def learn(self, chunks: list[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        parts = [m.groups() if (m := _LETTERS_SIGNS.fullmatch(c)) else (c, "") for c in chunks]
+        new = {part for pair in parts for part in pair}.difference(self.words)
+        letters = [part for part in new if part.isalpha()]
+        self.words.setdefault("", b"")
+        self._learn_letters(letters)
+        self._learn_any([part for part in new if part and not part.isalpha()])
+        for chunk, (letter, signs) in zip(chunks, parts):
+            self.chunks[chunk] = self.words[letter] + self.words[signs]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            until, chars = at, 0
+            while until < len(texts) and (until == at or chars + len(texts[until]) <= BATCH_CHARS):
+                chars += len(texts[until])
+                until += 1
+            split = [self.split(t) for t in texts[at:until]]
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks.clear()
+            self.learn(list(set().union(*split).difference(self.chunks)))
+            for parts in split:
+                yield b"".join([self.chunks[c] for c in parts])
+            at = until
 
 
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, known = _tokenizer(path)
-    at = 0
-    while at < len(texts):
-        until, chars = at, 0
-        while until < len(texts) and (until == at or chars + len(texts[until]) <= BATCH_CHARS):
-            chars += len(texts[until])
-            until += 1
-        split = [_split(t) for t in texts[at:until]]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-        missing = list(set().union(*split).difference(known))
-        if missing:
-            found = tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = 4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(missing)), side="right")
-            start = 0
-            for word, end in zip(missing, ends.tolist()):
-                known[word] = ids[start:end]
-                start = end
-        for parts in split:
-            yield b"".join([known[w] for w in parts])
-        at = until
+    return _Ids.of(path)(texts)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
