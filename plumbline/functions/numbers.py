@@ -53,6 +53,28 @@ def number_text(value: Column) -> Column:
     return F.when(F.abs(x) >= 1000, F.format_number(x, 0)).otherwise(short)
 
 
+def compact_text(value: Column) -> Column:
+    """At most one decimal and a letter for thousands, e.g. ``1.2K``; a dash for no value."""
+    x = value.cast("double")
+    shown = F.lit(None).cast("string")
+    for power, letter in reversed(list(enumerate(["", "K", "M", "B", "T"]))):
+        scaled = F.floor(F.abs(x) / 1000.0**power * 10 + 0.5) / 10.0
+        text = F.concat(F.regexp_replace(F.format_string("%.1f", scaled), r"\.0$", ""), F.lit(letter))
+        shown = text if letter == "T" else F.when(scaled < 1000, text).otherwise(shown)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(sign, shown))
+
+
+def byte_text(size: Column) -> Column:
+    """A size in the largest unit of 1024 that it fills, with at most one decimal."""
+    x = size.cast("double")
+    shown = F.lit("0 B")
+    for power, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
+        scaled = F.floor(x / 1024.0**power * 10 + 0.5) / 10.0
+        shown = F.when(x >= 1024.0**power, F.concat(F.regexp_replace(F.format_string("%.1f", scaled), r"\.0$", ""), F.lit(f" {unit}"))).otherwise(shown)
+    return shown
+
+
 def signed_text(value: Column, digits: int) -> Column:
     """Fixed decimals with an explicit sign, e.g. ``+3.5``."""
     return F.format_string(f"%+.{digits}f", py_round(value, digits))

@@ -151,8 +151,12 @@ def fill_missing(df: DataFrame, strategy: str = "auto", values: dict[str, object
     return df.withColumns(filled) if filled else df
 
 
-def clean(df: DataFrame, options: CleaningOptions) -> Cleaned:
-    """Apply the chosen steps and list the ones that changed something."""
+def clean(df: DataFrame, options: CleaningOptions, keep: bool = True) -> Cleaned:
+    """Apply the chosen steps and list the ones that changed something.
+
+    Rows without duplicates are written to scratch, since later steps and the caller scan them again;
+    with ``keep`` false they are not, and removed duplicates are not counted.
+    """
     out = null_if_nan(df)
     done: list[str] = []
     if options.trim_whitespace:
@@ -181,7 +185,9 @@ def clean(df: DataFrame, options: CleaningOptions) -> Cleaned:
             before -= size["empty"]
             if size["empty"]:
                 done.append(f"Removed {size['empty']} empty row(s)")
-    if options.remove_duplicates:
+    if options.remove_duplicates and not keep:
+        out = remove_duplicates(out)
+    elif options.remove_duplicates:
         # Later steps scan the result several times; the shuffle should run once.
         out = materialize(remove_duplicates(out), "deduplicated")
         after = out.count()
@@ -219,4 +225,4 @@ def cleaning_summary(before: DataFrame, cleaned: Cleaned) -> DataFrame:
 
 def cleaning_preview(df: DataFrame, options: CleaningOptions, order_by: list[str], limit: int = 100) -> DataFrame:
     """The first rows of the cleaned table; nothing is kept."""
-    return preview(clean(df, options).frame, order_by, limit)
+    return preview(clean(df, options, keep=False).frame, order_by, limit)

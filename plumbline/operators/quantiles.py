@@ -17,6 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.row_index import PART, SKIPPED
+from plumbline.session import materialize
+
 SKETCH_ACCURACY = 10_000
 SETTLE_ROWS = 100_000
 
@@ -101,11 +104,11 @@ def exact_quantiles(
     unsettled = _count(values, wide, sketched) if wide else []
     while unsettled := _move_settled(unsettled, settled, settle_rows):
         narrowed = _count(values, unsettled, _sketch(values, unsettled, accuracy, margin))
-        # A bracket that cannot shrink holds few, heavy values: they are picked from their counts.
+        # A bracket that cannot shrink holds heavy values, or the sketch missed: it is picked from counts.
         settled += [new for new, old in zip(narrowed, unsettled) if new.inside == old.inside]
         unsettled = [new for new, old in zip(narrowed, unsettled) if new.inside < old.inside]
 
-    at_rank = _pick(values, settled)
+    at_rank = _pick(values, settled, settle_rows)
     result: dict[str, list[float] | None] = {}
     for name, v in zip(columns, names):
         n = sizes[v]
@@ -169,8 +172,12 @@ def _count(values: DataFrame, brackets: list[_Bracket], tighter: list[tuple[floa
     return out
 
 
-def _pick(values: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """The values at the wanted ranks of brackets that are small or a single value."""
+def _pick(values: DataFrame, brackets: list[_Bracket], settle_rows: int) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks of brackets.
+
+    Brackets of up to ``settle_rows`` rows are sorted each in one task. If one is larger, since it would
+    not shrink, its values are dealt to ranges instead, whose sums give the ranks before each.
+    """
     found = {(b.column, r): b.low for b in brackets if b.low == b.high for r in b.ranks}
     rest = [b for b in brackets if b.low < b.high]
     if not rest:
@@ -189,8 +196,16 @@ def _pick(values: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int],
         .groupBy("bracket", "value")
         .agg(F.count("*").alias("copies"))
     )
-    ordered = Window.partitionBy("bracket").orderBy("value")
-    upto = F.sum("copies").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    if any(b.inside > settle_rows for b in rest):
+        counted = materialize(counted.repartitionByRange("bracket", "value").withColumn(PART, F.spark_partition_id()), "quantiles")
+        ranges = counted.groupBy("bracket", PART).agg(F.sum("copies").alias("held"))
+        before = Window.partitionBy("bracket").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select("bracket", PART, F.coalesce(F.sum("held").over(before), F.lit(0)).alias(SKIPPED))
+        counted = counted.join(F.broadcast(ranges), ["bracket", PART])  # one row per bracket and partition
+    else:
+        counted = counted.withColumns({PART: F.lit(0), SKIPPED: F.lit(0)})
+    ordered = Window.partitionBy("bracket", PART).orderBy("value")
+    upto = F.col(SKIPPED) + F.sum("copies").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("last_rank", upto - 1).withColumn("first_rank", F.col("last_rank") - F.col("copies") + 1)
     wanted = F.lit(False)
     for i, b in enumerate(rest):

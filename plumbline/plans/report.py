@@ -57,11 +57,14 @@ def plain(text):
 
 
 def report_lines(analytics: Analytics, title: str, name: str) -> DataFrame:
-    """Rows ``(section_no, item_no, text)``; in that order they are the markdown document."""
+    """Rows ``(section_no, item_no, text)``; in that order they are the markdown document.
+
+    A section has a heading and ends in a blank line; one without items is left out.
+    """
     spark = analytics.df.sparkSession
     size = analytics.df.agg(F.count("*").alias("rows"))
     head = spark.createDataFrame(
-        [(0, 0, f"# {title}"), (0, 1, ""), (0, 2, SUBTITLE), (0, 3, ""), (1, 0, "## Overview"), (1, 1, ""), (1, 2, f"- Dataset: {name}")],
+        [(0, 0, f"# {title}"), (0, 1, ""), (0, 2, SUBTITLE), (0, 3, ""), (1, 0, "## Overview"), (1, 1, ""), (1, 2, f"- Dataset: {name}"), (1, 4, "")],
         "section_no int, item_no int, text string",
     )
     overview = size.select(
@@ -69,14 +72,16 @@ def report_lines(analytics: Analytics, title: str, name: str) -> DataFrame:
         F.lit(3).alias("item_no"),
         F.concat(F.lit("- Rows: "), F.col("rows").cast("string"), F.lit(f" · Columns: {len(analytics.df.columns)}")).alias("text"),
     )
-    headings = spark.createDataFrame(
-        [row for i, (_, label) in enumerate(INSIGHT_TITLES) for row in ((i + 2, 0, f"## {label}"), (i + 2, 1, ""))],
-        "section_no int, item_no int, text string",
-    )
     place = F.array_position(F.array(*[F.lit(key) for key, _ in INSIGHT_TITLES]), F.col("section"))
     items = analytics.insights().select(
         (place + 1).cast("int").alias("section_no"),
         (F.col("ordinal") + 2).alias("item_no"),
         F.concat(F.lit("- "), plain(F.col("text"))).alias("text"),
     )
-    return head.unionByName(overview).unionByName(headings).unionByName(items)
+    titles = F.array(*[F.lit(f"## {label}") for _, label in INSIGHT_TITLES])
+    line = lambda at, text: F.struct(F.col("section_no"), at.cast("int").alias("item_no"), text.alias("text"))
+    around = F.array(
+        line(F.lit(0), F.element_at(titles, F.col("section_no") - 1)), line(F.lit(1), F.lit("")), line(F.col("last") + 1, F.lit(""))
+    )
+    frames = items.groupBy("section_no").agg(F.max("item_no").alias("last")).select(F.inline(around))
+    return head.unionByName(overview).unionByName(frames).unionByName(items)

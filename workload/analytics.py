@@ -180,6 +180,24 @@ def insight_driver(spark, sf_dir):
     return found.withColumn("r", py_round(F.col("r"), 6))
 
 
+@query(
+    "insight_driver_found",
+    f"""WITH net AS (SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net, -l_extendedprice * l_tax AS tax, l_quantity AS quantity FROM lineitem),
+r AS (SELECT 0 AS i, 'net' AS driver, corr(price, net) AS r FROM net UNION ALL SELECT 1, 'tax', corr(price, tax) FROM net
+      UNION ALL SELECT 2, 'quantity', corr(price, quantity) FROM net)
+SELECT driver, {rnd("r", 6)} AS r, CASE WHEN r > 0 THEN 'moves with' ELSE 'moves against' END AS effect
+FROM (SELECT * FROM r WHERE NOT isnan(r) ORDER BY abs(r) DESC, i LIMIT 1) WHERE abs(r) > 0.3""",
+)
+def insight_driver_found(spark, sf_dir):
+    """Prices and what is derived from them: a strong driver and a negative one."""
+    price = F.col("l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(
+        price.alias("price"), (price * (1 - F.col("l_discount"))).alias("net"), (-price * F.col("l_tax")).alias("tax"), F.col("l_quantity").alias("quantity")
+    )
+    found = insights.insight_driver(lines, "price")
+    return found.withColumn("r", py_round(F.col("r"), 6))
+
+
 MONTHS = """months AS (
   SELECT bucket, coalesce(value, 0) AS value FROM (
     SELECT last_day(CAST(m AS DATE)) AS bucket FROM (
@@ -305,10 +323,11 @@ def report_sections(spark, sf_dir):
     f"""WITH {SALES}, {INSIGHTS},
 titles(section_no, section, title) AS (VALUES (2, 'key_insights', 'Key insights'), (3, 'revenue_drivers', 'Revenue drivers'), (4, 'growth_trends', 'Growth trends'),
   (5, 'opportunities', 'Opportunities'), (6, 'risks', 'Risks'), (7, 'recommendations', 'Executive recommendations'))
-SELECT * FROM (VALUES (0, 0, '# Sales report'), (0, 1, ''), (0, 2, '_Executive report_'), (0, 3, ''), (1, 0, '## Overview'), (1, 1, ''), (1, 2, '- Dataset: sales')) t(section_no, item_no, text)
+SELECT * FROM (VALUES (0, 0, '# Sales report'), (0, 1, ''), (0, 2, '_Executive report_'), (0, 3, ''), (1, 0, '## Overview'), (1, 1, ''), (1, 2, '- Dataset: sales'), (1, 4, '')) t(section_no, item_no, text)
 UNION ALL SELECT 1, 3, '- Rows: ' || CAST(count(*) AS VARCHAR) || ' · Columns: 7' FROM sales
-UNION ALL SELECT section_no, 0, '## ' || title FROM titles
-UNION ALL SELECT section_no, 1, '' FROM titles
+UNION ALL SELECT section_no, 0, '## ' || title FROM titles WHERE section IN (SELECT section FROM insights)
+UNION ALL SELECT section_no, 1, '' FROM titles WHERE section IN (SELECT section FROM insights)
+UNION ALL SELECT section_no, max(ordinal) + 3, '' FROM insights JOIN titles USING (section) GROUP BY section_no
 UNION ALL SELECT section_no, ordinal + 2, '- ' || replace(text, '**', '') FROM insights JOIN titles USING (section)""",
 )
 def report_lines(spark, sf_dir):

@@ -6,7 +6,7 @@ from plumbline.operators import clean
 from plumbline.operators.profile import duplicate_rows, table_size
 from plumbline.functions import py_round, side_by_side
 from plumbline.plans.versions import store
-from plumbline.session import scratch_path
+from plumbline.session import materialize, scratch_path
 from workload.inputs import EVENTS_DIRTY, events_dirty
 from workload.registry import query, rnd
 
@@ -149,18 +149,20 @@ def clean_apply_undo(spark, sf_dir):
     root = scratch_path(spark, "versions")
     original = store(events_dirty(spark, sf_dir), "events", f"{root}/events")
     cleaned, _ = original.apply(spark, clean.CleaningOptions.everything())
+    # The cleaned version is gone after the undo, so its facts are taken before.
+    facts = materialize(_version_facts(spark, "cleaned", cleaned), "facts")
     snapshot = cleaned.copy(spark, f"{root}/copy")
     undone = cleaned.undo(spark)
-    # The cleaned copy is gone after the undo; its snapshot has the same rows.
-    versions = {"original": original, "cleaned": snapshot, "copy of cleaned": snapshot, "undone": undone}
-    facts = None
-    for name, version in versions.items():
-        df = version.read(spark)
-        row = side_by_side(table_size(df), duplicate_rows(df)).select(
-            F.lit(name).alias("version"),
-            F.col("total_rows").alias("row_count"),
-            F.col("missing_cells").alias("missing"),
-            F.col("duplicate_rows").alias("copies"),
-        )
-        facts = row if facts is None else facts.unionByName(row)
+    for name, version in {"original": original, "copy of cleaned": snapshot, "undone": undone}.items():
+        facts = facts.unionByName(_version_facts(spark, name, version))
     return facts
+
+
+def _version_facts(spark, name, version):
+    df = version.read(spark)
+    return side_by_side(table_size(df), duplicate_rows(df)).select(
+        F.lit(name).alias("version"),
+        F.col("total_rows").alias("row_count"),
+        F.col("missing_cells").alias("missing"),
+        F.col("duplicate_rows").alias("copies"),
+    )

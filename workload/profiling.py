@@ -3,10 +3,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import py_round
-from plumbline.operators import association, coercion, profile, roles
+from plumbline.operators import association, coercion, profile, quantiles, roles
 from plumbline.operators.breakdown import kpi_summary
 from workload.inputs import EVENTS_DIRTY, SALES, events_dirty, sales, table
-from workload.registry import query
+from workload.registry import query, rnd
 
 DIRTY_COLUMNS = ["event_type", "value", "user_text", "day_text"]
 LINE_MEASURES = [
@@ -305,3 +305,37 @@ SELECT total_rows AS row_count, 4 AS column_count, quality_score,
 )
 def kpis(spark, sf_dir):
     return kpi_summary(events_dirty(spark, sf_dir))
+
+
+PROBS = (0.01, 0.25, 0.5, 0.75, 0.999)
+
+
+@query(
+    "quantiles_narrowed",
+    f"""WITH p AS (SELECT unnest({list(PROBS)}) AS prob),
+v AS (SELECT 'l_extendedprice' AS "column", l_extendedprice AS x FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem
+      UNION ALL SELECT 'l_orderkey', CAST(l_orderkey AS DOUBLE) FROM lineitem),
+s AS (SELECT "column", list_sort(list(x)) AS xs FROM v GROUP BY 1)
+SELECT "column", CAST(prob AS DOUBLE) AS prob, {rnd("xs[1 + CAST(floor(pos) AS BIGINT)] + (xs[1 + CAST(ceil(pos) AS BIGINT)] - xs[1 + CAST(floor(pos) AS BIGINT)]) * (pos - floor(pos))", 6)} AS value
+FROM (SELECT "column", prob, xs, CAST(prob AS DOUBLE) * (len(xs) - 1) AS pos FROM s, p)""",
+)
+def quantiles_narrowed(spark, sf_dir):
+    """Brackets that may sort no more than 100 rows, and a coarse sketch: every step of the narrowing runs."""
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", F.col("l_orderkey").cast("double").alias("l_orderkey"))
+    found = quantiles.exact_quantiles(lines, lines.columns, PROBS, settle_rows=100, accuracy=200)
+    rows = [(name, prob, value) for name, values in found.items() for prob, value in zip(PROBS, values)]
+    df = spark.createDataFrame(rows, "column string, prob double, value double")
+    return df.withColumn("value", py_round(F.col("value"), 6))
+
+
+@query(
+    "event_props",
+    """SELECT event_type, count(*) AS events, count(k) AS keyed, CAST(min(k) AS BIGINT) AS low, CAST(max(k) AS BIGINT) AS high
+FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""",
+)
+def event_props(spark, sf_dir):
+    """Values inside JSON text, read with a declared schema."""
+    events = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return events.groupBy("event_type").agg(
+        F.count("*").alias("events"), F.count("k").alias("keyed"), F.min("k").alias("low"), F.max("k").alias("high")
+    )

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import number_text, py_round
+from plumbline.functions import byte_text, compact_text, number_text, py_round
 from plumbline.operators import ask, conversations
 from plumbline.operators.breakdown import scalar_aggregates
 from plumbline.operators.coercion import prepare
@@ -305,6 +305,35 @@ def format_value(spark, sf_dir):
     )
 
 
+def _short_sql(x: str, base: float, power: int) -> str:
+    """One decimal, rounded half up, without a trailing zero."""
+    return f"regexp_replace(format('{{:.1f}}', floor({x} / {base}::DOUBLE ** {power} * 10 + 0.5) / 10), '\\.0$', '')"
+
+
+def _compact_sql(x: str) -> str:
+    fits = lambda p: f"floor(abs({x}) / 1000.0::DOUBLE ** {p} * 10 + 0.5) / 10 < 1000"
+    units = " ".join(f"WHEN {fits(p)} THEN {_short_sql(f'abs({x})', 1000.0, p)} || '{u}'" for p, u in enumerate(["", "K", "M", "B"]))
+    return f"CASE WHEN {x} IS NULL THEN '—' ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE {units} END END"
+
+
+def _bytes_sql(x: str) -> str:
+    units = " ".join(f"WHEN {x} >= 1024.0::DOUBLE ** {p} THEN {_short_sql(x, 1024.0, p)} || ' {u}'" for p, u in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))))
+    return f"CASE {units} ELSE '0 B' END"
+
+
+@query(
+    "short_numbers",
+    f"""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_totalprice - 30000) * (o_orderkey % 50 + 1) END AS x,
+  CAST(o_totalprice * o_totalprice AS BIGINT) // (o_orderkey % 999 + 1) AS size FROM orders)
+SELECT o_orderkey, {_compact_sql("x")} AS compact, {_bytes_sql("size")} AS bytes FROM n""",
+)
+def short_numbers(spark, sf_dir):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    x = F.when(key % 5 != 0, (price - 30000) * (key % 50 + 1))
+    size = F.floor(F.rint(price * price) / (key % 999 + 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", compact_text(x).alias("compact"), byte_text(size).alias("bytes"))
+
+
 TITLES = """titles AS (
   SELECT conv_id, CASE WHEN length(text) > 60 THEN left(text, 60) || '…' ELSE text END AS title FROM (
     SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id))"""
