@@ -5,8 +5,9 @@
 2. The plan sees the histogram of piece lengths only (at most one entry per length, whatever the
    number of documents). Patterns of up to three coarse lengths that fill a sequence are enumerated,
    non-negative least squares fits their repeat counts to the histogram, the counts are rounded down
-   and filled with real lengths, and the rest goes best-fit, longest first, into the space that is
-   left. All of it counts equal sequences instead of listing them, so the plan stays bounded.
+   and filled with real lengths (the last one by best fit), and the rest goes best-fit, longest first,
+   into the space that is left. All of it counts equal sequences instead of listing them, so the plan
+   stays bounded.
 3. Pieces are numbered by length without a one-task sort, and each number names a place of the plan.
 
 Defined cases: a null text is empty and becomes the end id alone; repeated rows are all packed; an
@@ -16,6 +17,8 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,40 +190,50 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, grains: in
 
     grain = -(-capacity // grains)
     units = capacity // grain
-    bins: dict[int, list[int]] = {}
-    for length in sorted(left):
-        bins.setdefault(-(-length // grain), []).append(length)  # the longest of a bin is last
 
     patterns = _patterns(units)
     matrix = np.zeros((units, len(patterns)))
     for j, pattern in enumerate(patterns):
         for b in pattern:
             matrix[b - 1, j] += 1
-    target = np.array([sum(left[x] for x in bins.get(b, [])) for b in range(1, units + 1)], dtype=float)
+    target = np.zeros(units)
+    for length, n in left.items():
+        target[-(-length // grain) - 1] += n
     weight = np.sqrt(np.arange(1, units + 1) / units)  # short pieces fit anywhere: misfits cost least there
     repeats = np.floor(nnls(matrix * weight[:, None], target * weight)).astype(int)
 
-    def draw(b: int, n: int) -> list[tuple[int, int]]:
-        taken = []
-        while n:
-            length = bins[b][-1]
-            k = min(n, left[length])
-            taken.append((length, k))
-            n -= k
-            left[length] -= k
-            if not left[length]:
-                bins[b].pop()
-        return taken
+    available = sorted(left)
+
+    def longest(low: int, high: int, taken: Counter) -> int | None:
+        """The longest length in (low, high] of which a piece is left beside the taken ones."""
+        i = bisect_right(available, high)
+        while i and available[i - 1] > low:
+            if left[available[i - 1]] > taken[available[i - 1]]:
+                return available[i - 1]
+            i -= 1
+        return None
 
     for pattern, n in zip(patterns, repeats.tolist()):
-        n = min([n, *(sum(left[x] for x in bins.get(b, [])) // pattern.count(b) for b in pattern)])
-        if n:
-            drawn = [draw(b, n) for b in pattern]
-            while n:
-                k = min(d[0][1] for d in drawn)
-                close(tuple((d[0][0], 1) for d in drawn), k)
-                drawn = [([(d[0][0], d[0][1] - k)] if d[0][1] > k else []) + d[1:] for d in drawn]
-                n -= k
+        while n:
+            # All but the last come from the pattern's bins; the last is what fits best, mostly of its bin.
+            taken: Counter = Counter()
+            for b in pattern[:-1]:
+                taken[longest((b - 1) * grain, b * grain, taken)] += 1
+            if None in taken:
+                break
+            last = longest(0, capacity - sum(length * q for length, q in taken.items()), taken)
+            if last is None:
+                break
+            taken[last] += 1
+            k = min(n, *(left[length] // q for length, q in taken.items()))
+            if not k:
+                break
+            close(tuple(sorted(taken.items(), reverse=True)), k)
+            n -= k
+            for length, q in taken.items():
+                left[length] -= k * q
+                if not left[length]:
+                    available.remove(length)
 
     for length in sorted((x for x in left if left[x]), reverse=True):
         n = left[length]
