@@ -34,6 +34,7 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints that are compared with each other in one go.
 BUCKET = 512
+SETTLED_BITS = 9
 _CHUNK = 100_000  # shingles whose bits are counted at once
 
 
@@ -100,6 +101,11 @@ def _roots(values: np.ndarray, radius: int) -> np.ndarray:
 def _compare(radius: int, bucket: int):
     """Links of sorted (mask, bits under it, fingerprint) rows; rows of large buckets come back as they are."""
 
+    def most(mask: np.uint64) -> int:
+        """Few free bits bound a bucket by themselves, and need no further masks."""
+        free = 64 - int(mask).bit_count()
+        return bucket if free > SETTLED_BITS else max(bucket, 1 << free)
+
     def links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = _roots(values, radius)
         moved = root != np.arange(len(values))
@@ -126,9 +132,9 @@ def _compare(radius: int, bucket: int):
                 several = (ends - starts > 1) & (ends < rows.shape[1])
                 for start, end in zip(starts[several].tolist(), ends[several].tolist()):
                     one = rows[:, start:end]
-                    parts.append((0, *links(one[2])) if end - start <= bucket else (1, one[0], one[2]))
+                    parts.append((0, *links(one[2])) if end - start <= most(one[0, 0]) else (1, one[0], one[2]))
                 held, large = rows[:, starts[-1] :], None
-                if held.shape[1] > bucket:
+                if held.shape[1] > most(held[0, 0]):
                     parts.append((1, held[0], held[2]))
                     held, large = held[:, :0], (held[0, 0], held[1, 0])
             if any(len(p[1]) for p in parts):
