@@ -35,6 +35,7 @@ INTENTS = [
     ("aggregate", r"total|sum|average|mean|count|how many|how much|maximum|minimum"),
     ("summary", r"summar|overview|insight|key (finding|metric)|executive|recommend|tell me about|analy"),
 ]
+# Words that turn a ranking round, choose buckets or choose an aggregate, and answer texts here and below.
 LOWEST = r"lowest|worst|least|bottom|smallest"
 GRANULARITY: list[tuple[Frequency, str]] = [("week", r"week"), ("day", r"daily|per day")]
 AGGREGATES = [

@@ -17,6 +17,7 @@ from plumbline.operators.quantiles import quantiles
 from plumbline.session import materialize
 
 CLEAN_DATE_SHARE = 0.8
+# The texts that name what was done, here and in ``clean``.
 NO_CHANGES = "No changes were necessary"
 
 

@@ -17,6 +17,7 @@ MISSING_RISK_PCT = 5
 CONCENTRATION_PCT = 50
 DRIVER_R = 0.3
 
+# Sections and the sentences of each.
 SECTIONS = ["key_insights", "opportunities", "risks", "revenue_drivers", "growth_trends", "recommendations"]
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_written: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -43,7 +44,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="plumbline-")
         root = _local_root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove every folder that this process has named so far.
+
+    For the end of a job, or between jobs: frames that were read from scratch cannot be read any more.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,14 +2,16 @@ import os
 
 import pytest
 
-from plumbline.session import local_session
+from plumbline.session import local_session, release_scratch
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4)
+    session = local_session(4, 4)
+    yield session
+    release_scratch(session)
 
 
 @pytest.fixture(scope="session")
