@@ -177,6 +177,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     least = groups.join(distinct.select(F.col("bits").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = groups.join(least, "root").select(F.col("node").alias("bits"), "component_id")
     labels = distinct.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, the labels are a plain side of the join, which then may split a fingerprint of very many rows.
+    labels = materialize(labels, "labels")
     return prints.join(labels, "bits").select("doc_id", hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
