@@ -183,6 +183,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block_
     schema = ", ".join(f"{n} {'int' if t == pa.int32() else 'bigint'}" for n, t in _RUNS)
     runs = docs.select("key", "body").mapInArrow(_list_runs(length), schema)
     again = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, they are a plain side of the join, which then may split an anchor of very many runs.
+    again = materialize(again, "anchors")
     places = materialize(runs.join(again, "anchor"), "repeats")
     different = places.groupBy("anchor", "digest").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "first", "windows")).alias("one")
