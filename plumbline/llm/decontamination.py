@@ -94,15 +94,22 @@ def _covered(spans: Column) -> Column:
 
 
 def mark_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 10, block: int = BLOCK
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    n: int = 10,
+    block: int = BLOCK,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items``,
+    """``docs`` (or its columns ``keep``, which alone are shuffled) with ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items``,
     ``items`` (ids as sorted strings), ``hit_spans`` (start and length in words, from 1) and ``contaminated``."""
     windows = item_windows(benchmark, item, item_text, n)
     facts = windows.groupBy(F.size("window_words").alias("m")).count().collect()  # at most n rows
     lengths = sorted(row["m"] for row in facts)
     blocks = max(1, -(-sum(row["count"] for row in facts) // block))
-    kept = other_columns(docs, RESULTS)
+    kept = other_columns(docs if keep is None else docs.select(*named(keep)), RESULTS)
     base = docs.select(
         F.monotonically_increasing_id().alias("__row"), F.struct(*named(kept)).alias("__doc"), whole_text(text).alias("__text")
     )

@@ -71,8 +71,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query("op1_decontamination", DECONTAMINATION)
 def op1(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    marked = decontamination.mark_contamination(documents, benchmark, keep=["doc_id"])
     digest = F.sha2(F.array_join("items", ","), 256)
     return marked.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
