@@ -18,14 +18,14 @@ never the smallest; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._columns import named
+from plumbline.llm._columns import named, whole_text
 from plumbline.llm.components import connected_components
 from plumbline.session import materialize
 
@@ -56,17 +56,19 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``bits``, the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, also: Mapping[str, Column] = {}) -> DataFrame:
+    """``doc_id`` and ``bits``, the fingerprint as a signed number, and the whole numbers ``also`` of each row."""
+    names = ["doc_id", "bits", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [fingerprint(t or b"", size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(bits, dtype=np.uint64).view(np.int64))], names=["doc_id", "bits"]
+                [batch.column(0), pa.array(np.array(bits, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], names=names
             )
 
-    return docs.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, "doc_id bigint, bits bigint")
+    rows = docs.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`"), *[c.alias(name) for name, c in also.items()])
+    return rows.mapInArrow(run, ", ".join(f"{name} bigint" for name in names))
 
 
 def _signed(value: int) -> int:
@@ -169,27 +171,37 @@ def hex_digits(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hex) and ``component_id`` (smallest doc_id reachable by links) of each row."""
-    prints = materialize(fingerprints(docs, text, key, size), "fingerprints")
+def _labels(prints: DataFrame, radius: int) -> DataFrame:
+    """Of each fingerprint the ``root``, one for each component, and ``component_id``, the smallest doc_id of the component."""
     distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("first"))
     groups = connected_components(near_links(distinct.select("bits"), radius))
     least = groups.join(distinct.select(F.col("bits").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = groups.join(least, "root").select(F.col("node").alias("bits"), "component_id")
-    labels = distinct.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "first").alias("component_id"))
+    linked = groups.join(least, "root").select(F.col("node").alias("bits"), "root", "component_id")
+    joined = distinct.join(linked, "bits", "left")
+    return joined.select("bits", F.coalesce("root", "bits").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hex) and ``component_id`` (smallest doc_id reachable by links) of each row."""
+    prints = materialize(fingerprints(docs, text, key, size), "fingerprints")
     # Written, the labels are a plain side of the join, which then may split a fingerprint of very many rows.
-    labels = materialize(labels, "labels")
+    labels = materialize(_labels(prints, radius).select("bits", "component_id"), "labels")
     return prints.join(labels, "bits").select("doc_id", hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: the first by id, a null id last, then by text.
 
-    Rows that share an id are one document: the first by text stays. A group without ids keeps one row.
+    Rows are judged one by one, so rows that share an id, or have none, stay if their texts are of different components.
     """
-    none = F.lit(-(1 << 63))  # stands for a null id
-    groups = near_duplicates(docs, text, key, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("__id")).distinct()
-    rows = docs.select(F.struct(*named(docs.columns)).alias("__doc"), F.coalesce(F.col(f"`{key}`").cast("bigint"), none).alias("__id"))
-    firsts = rows.join(kept, "__id", "left_semi").groupBy("__id").agg(F.min_by("__doc", F.coalesce(F.col("__doc")[text], F.lit(""))).alias("__doc"))
+    body = whole_text(F.col(f"`{text}`"))
+    digest = {"__h1": F.xxhash64(body), "__h2": F.xxhash64(F.lit(1), body)}  # 128 bits tell the texts under one id apart
+    prints = materialize(fingerprints(docs, text, key, size, digest), "fingerprints")
+    labels = materialize(_labels(prints, radius), "labels")
+    least = prints.join(labels, "bits").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Written for the same reason as labels: the join below may split a text of very many rows.
+    least = materialize(least.select(F.col("doc_id").alias("__least"), F.col("__h1").alias("__l1"), F.col("__h2").alias("__l2"), "root").distinct(), "firsts")
+    rows = docs.select(F.struct(*named(docs.columns)).alias("__doc"), F.col(f"`{key}`").cast("bigint").alias("__id"), *[c.alias(n) for n, c in digest.items()])
+    same = (F.col("__h1") == F.col("__l1")) & (F.col("__h2") == F.col("__l2")) & F.col("__id").eqNullSafe(F.col("__least"))
+    firsts = rows.join(least, same).groupBy("root").agg(F.min_by("__doc", F.coalesce(F.col("__doc")[text], F.lit(""))).alias("__doc"))
     return firsts.select(*[F.col("__doc")[name].alias(name) for name in docs.columns])

@@ -160,6 +160,17 @@ def test_simhash(spark, docs, none):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d in first.values() if d is not None})
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    """Rows without an id, and rows that share one, are not one document."""
+    text = [" ".join(f"{word}{i}" for word in WORDS) for i in range(6)]
+    near = text[0].upper()
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[2]), (7, text[3]), (7, text[4]), (7, text[4]), (None, near), (9, text[5])]
+    assert len({brute.simhash(t) for t in text}) == 6
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = [(None, min(near, text[0])), (None, text[1]), (3, text[2]), (7, text[3]), (7, text[4]), (9, text[5])]
+    assert Counter(tuple(r) for r in simhash.keep_first(df).collect()) == Counter(want)
+
+
 @pytest.mark.parametrize("bucket", [2, 7, 512])
 def test_covering_finds_every_link(spark, bucket):
     """Crowded buckets are dealt out again, and no link is lost."""
