@@ -242,6 +242,15 @@ def test_line_dedup(spark, cell):
     assert got == brute.line_dedup(docs)
 
 
+def test_line_dedup_of_short_lines(spark):
+    """With ``short``, equal lines below the limit of the edit join go as well; near ones and blank ones stay."""
+    long = [f"A line of its own, number {word}, which is long enough." for word in ("one hundred", "thousand")]
+    docs = [(1, f"All rights reserved.\n\n{long[0]}\n \n"), (2, f"All rights reserved.\n\nAll right reserved.\n{long[1]}\n \nIt.\nIt."), (None, "All rights reserved.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df, short=True).collect()}
+    assert got == {1: ([], [], 0), 2: ([0, 6], [1, 2], 0), None: ([0], [1], 0)}
+
+
 def test_line_dedup_of_odd_rows(docs, none):
     rows = lines.mark_lines(docs).collect()
     assert len(rows) == len(ROWS) and rows[0]["key"] == "given key"
