@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, langid, lines, packing, repeats, simhash, toxicity, warc
+from plumbline.llm import chat, decontamination, fingerprints, langid, lines, packing, repeats, simhash, toxicity, vector_codes, warc
 from plumbline.llm._columns import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,39 @@ def op8(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# Four rounds and the last assignment are the same two steps; positions count from 1.
+def _vector_codes_sql(rounds: int = 4, size: int = 256) -> str:
+    steps = [
+        """WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (SELECT r, (p - 1) // (w // 4) AS part, (p - 1) % (w // 4) AS pos, CAST(floor(CAST(v AS DOUBLE) * 1024) AS BIGINT) AS x
+  FROM (SELECT r, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p, len(embedding) AS w FROM kept)),
+b0 AS (SELECT part, r - 1 AS entry, pos, x AS c FROM cells WHERE r <= {size})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT r, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM
+  (SELECT r, cells.part, entry, sum((x - c) * (x - c)) AS d FROM cells JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(n.c, b{k}.c) AS c FROM b{k} LEFT JOIN
+  (SELECT part, entry, pos, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS c FROM cells JOIN a{k} USING (r, part) GROUP BY ALL) n USING (part, entry, pos))"""
+            )
+    steps.append(
+        """coded AS (SELECT r, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} JOIN kept USING (r) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
+    )
+    return ",\n".join(steps).replace("{size}", str(size)).replace("{rounds}", str(rounds))
+
+
+@query("op13_vector_codes", _vector_codes_sql())
+def op13(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat(*(F.lpad(F.lower(F.hex(F.col("code")[part])), 2, "0") for part in range(4)))
+    return coded.select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", F.col("group_error").alias("label_error"), F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    )
