@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, langid, lines, packing, repeats, simhash, toxicity, vector_codes, warc
+from plumbline.llm import chat, decontamination, fingerprints, langid, lines, mixing, packing, repeats, simhash, toxicity, vector_codes, warc
 from plumbline.llm._columns import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,13 @@ def op13(spark, sf_dir):
     return coded.select(
         F.col("id").alias("vec_id"), code.alias("code"), "error", F.col("group_error").alias("label_error"), F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
     )
+
+
+@query("op12_mixing")
+def op12(spark, sf_dir):
+    mixed, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    aims = spark.createDataFrame([(source, size, float(target)) for source, (size, target) in sources.items()], "of string, source_size bigint, target double")
+    source = F.col("members")[0]
+    return mixed.join(F.broadcast(aims), source.eqNullSafe(F.col("of"))).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
