@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, langid, lines, mixing, packing, repeats, simhash, toxicity, vector_codes, warc
+from plumbline.llm import alignment, chat, decontamination, fingerprints, langid, lines, mixing, packing, repeats, simhash, toxicity, vector_codes, warc
 from plumbline.llm._columns import whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,11 @@ def op12(spark, sf_dir):
     return mixed.join(F.broadcast(aims), source.eqNullSafe(F.col("of"))).select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query("op11_alignment")
+def op11(spark, sf_dir):
+    from public_tokenizers import path
+
+    aligned = alignment.cross_align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return aligned.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

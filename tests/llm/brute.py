@@ -170,3 +170,63 @@ def line_dedup(docs, edits=2, least=24):
             seen.add(root[line])
         out[doc] = (len((text or "").split("\n")), removed, sum(len(near[line]) for line in {line for _, line in held[doc]}))
     return out
+
+
+def alignments(docs, path_a, path_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256); every row is a document."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel
+
+    first, second = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    first.encode_special_tokens = True
+    shown = ByteLevel.__name__ and {chr(c): b for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 256)], [*range(33, 127), *range(161, 173), *range(174, 256)])}
+    shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown.values()))}
+    held = []
+    for doc, text in docs:
+        want = f" {text or ''}".encode()
+        a = [(i, bytes(shown[c] for c in first.id_to_token(i))) for i in first.encode(f" {text or ''}", add_special_tokens=False).ids]
+        b = [(i, second.id_to_piece(i)) for i in second.encode(text or "")]
+        b = [(i, bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode()) for i, p in b]
+        if not text or b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+            held.append((doc, [], [], [], []))
+            continue
+        spans = []
+        for tokens in (a, b):
+            at, out = 0, []
+            for i, data in tokens:
+                out.append((i, at, at + len(data)))
+                at += len(data)
+            spans.append(out)
+        links, k = [], 0
+        for i, low, high in spans[0]:
+            while spans[1][k][2] <= low:
+                k += 1
+            j = k
+            while j < len(spans[1]) and spans[1][j][1] < high:
+                links.append((i, spans[1][j][0]))
+                j += 1
+        cuts = sorted({s[2] for s in spans[0]} & {s[2] for s in spans[1]})
+        groups, low = [], 0
+        for high in cuts:
+            groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= high) for side in spans) if len(cuts) < 400 else None)
+            low = high
+        if len(cuts) >= 400:
+            where = {c: g for g, c in enumerate(cuts)}
+            parts, at = [[], []], 0
+            groups = [[[], []] for _ in cuts]
+            for side, tokens in enumerate(spans):
+                g = 0
+                for i, _, e in tokens:
+                    groups[g][side].append(str(i))
+                    g = where.get(e, g - 1) + 1 if e in where else g
+            groups = ["|".join(",".join(side) for side in group) for group in groups]
+        held.append((doc, a, b, groups, links))
+    count = Counter(pair for *_, links in held for pair in set(links))
+    most = {}
+    for (i, _), n in count.items():
+        most[i] = max(most.get(i, 0), n)
+    return [
+        (doc, len(a), len(b), len(groups), len(links), sum(count[p] == most[p[0]] for p in links), sum(count[p] for p in links), sha(";".join(groups)) if a else "")
+        for doc, a, b, groups, links in held
+    ]
