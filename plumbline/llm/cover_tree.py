@@ -5,7 +5,7 @@ children lie within half of the node's scale (a power of two) of their own point
 children are farther apart than that, and the first child repeats the node's point. Points are stored so that a node's
 are consecutive; running sums over them then give the sum and number of any subtree.
 
-Distances are squared and exact: products of doubles while they stay whole, Python integers beyond.
+Distances are squared and exact: products of doubles while they stay whole, 64-bit integers beyond.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ def squared(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
     if 4 * largest * largest * max(1, points.shape[1]) < _WHOLE:
         p, e = points.astype(np.float64), entries.astype(np.float64)
         return (p * p).sum(axis=1)[:, None] - 2.0 * (p @ e.T) + (e * e).sum(axis=1)
-    p, e = points.astype(object), entries.astype(object)
-    return np.array([((p - one) ** 2).sum(axis=1) for one in e], dtype=object).T
+    return np.stack([((points - one) ** 2).sum(axis=1) for one in entries], axis=1)
 
 
 @dataclass
@@ -133,8 +132,5 @@ class CoverTree:
         for low, high, best in subtrees.tolist():
             entry[low:high] = best
         entry[single] = nearest
-        step = (self.points - entries[entry]) if len(entry) else self.points
-        if step.size and 4 * int(np.abs(step).max()) ** 2 * step.shape[1] >= 2**63:
-            step = step.astype(object)
-        away = (step * step).sum(axis=1)
+        away = ((self.points - entries[entry]) ** 2).sum(axis=1)
         return entry[self.place], away[self.place]

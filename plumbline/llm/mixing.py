@@ -8,7 +8,7 @@
 4. A pattern's words become whole repetitions of all its documents and a rest. The rest is a
    selection of documents in the order of a seeded hash. Its end is found by histograms of the hash's
    digits, so documents are neither sorted nor shuffled; of up to ``WINDOW`` documents around the end
-   those are taken whose sizes add up best.
+   those are taken whose sizes add up best, and behind them it goes on with documents that fit.
 
 The driver sees one row for each pattern (their number is checked against ``MAX_PATTERNS``), histograms of 256 digits, and
 the windows. Nothing else grows with the input there.
@@ -40,6 +40,8 @@ SEED = 20
 MAX_PATTERNS = 100_000
 WINDOW = 64
 SUMS = 512
+#: Share of a pattern's words by which its selection may miss, if documents that fit are left.
+NEAR = Fraction(1, 1000)
 #: Bits of the hash and of row numbers, and how many of them a histogram counts by at a time.
 HASH_BITS, ROW_BITS, DIGIT = 56, 56, 8
 
@@ -150,9 +152,15 @@ def route(sizes: dict[str, int], members: dict[str, list[Source]], quotas: dict[
 
 @dataclass
 class _Cut:
-    """The end of a selection: hashes below ``low`` go in, those in [low, high) by row number, likewise."""
+    """The end of a selection among rows from (``start``, ``start_row``) on that have at most ``most`` words.
+
+    Hashes below ``low`` go in, of those in [low, high) the rows below ``row_low``, and the chosen ones.
+    """
 
     rest: int
+    most: int
+    start: int = 0
+    start_row: int = 0
     low: int = 0
     high: int = 1 << HASH_BITS
     row_low: int = 0
@@ -188,36 +196,50 @@ class _Cut:
             self.low, self.high = self.low + order[first] * step, self.low + (order[last] + 1) * step
         return done
 
-    def choose(self, rows: list[tuple[int, int, int]]) -> None:
-        """Of the last rows (hash, row, size), those whose sizes come nearest to the rest.
+    def choose(self, rows: list[tuple[int, int, int]], above: bool) -> int:
+        """Of the last rows (hash, row, size), take those whose sizes come nearest to the rest, and return what is left of it.
 
-        Reachable sums grow row by row; of sums in the same ``SUMS``-th of the rest one is kept.
+        Reachable sums grow row by row; of sums in the same ``SUMS``-th of the rest one is kept. Sums ``above`` the rest count if asked for.
         """
         sums: dict[int, tuple[int, tuple | None]] = {0: (0, None)}
         for _, row, size in sorted(rows):
             for total, chain in list(sums.values()):
-                if size and total + size <= 2 * self.rest:
+                if size and total + size <= (2 if above else 1) * self.rest:
                     sums.setdefault((total + size) * SUMS // self.rest, (total + size, (row, chain)))
-        chain = min(sums.values(), key=lambda found: abs(found[0] - self.rest))[1]
+        total, chain = min(sums.values(), key=lambda found: abs(found[0] - self.rest))
         chosen = []
         while chain:
             row, chain = chain
             chosen.append(row)
         self.chosen = tuple(chosen)
+        return self.rest - total
+
+    def after(self, rest: int) -> _Cut:
+        """A selection that goes on behind this one, among rows that still fit."""
+        by_row = self.high - self.low == 1
+        return _Cut(rest, rest, self.low if by_row else self.high, self.row_high if by_row else 0)
+
+
+_AMONG = "size <= most AND (hash > start OR hash = start AND row >= start_row)"
+_CUT = "start bigint, start_row bigint, most bigint, low bigint, high bigint, row_low bigint"
 
 
 def _inside(narrow: DataFrame, cuts: dict[str, _Cut]) -> DataFrame:
-    """The rows at the ends of the selections. ``cuts`` has at most one row per pattern."""
-    frame = narrow.sparkSession.createDataFrame(
-        [(p, c.low, c.high, c.row_low, c.row_high) for p, c in cuts.items()], "pattern string, low bigint, high bigint, row_low bigint, row_high bigint"
-    )
-    return narrow.join(F.broadcast(frame), "pattern").where("hash >= low AND hash < high AND row >= row_low AND row < row_high")
+    """The rows at the ends of the selections. ``cuts`` has one row per pattern at most."""
+    rows = [(p, c.start, c.start_row, c.most, c.low, c.high, c.row_low, c.row_high) for p, c in cuts.items()]
+    frame = narrow.sparkSession.createDataFrame(rows, f"pattern string, {_CUT}, row_high bigint")
+    return narrow.join(F.broadcast(frame), "pattern").where(f"{_AMONG} AND hash >= low AND hash < high AND row >= row_low AND row < row_high")
 
 
-def _ends(narrow: DataFrame, rests: dict[str, int]) -> dict[str, _Cut]:
-    """Where the selection of each pattern ends; one pass over (pattern, size, hash, row) per digit."""
-    cuts = {pattern: _Cut(rest) for pattern, rest in rests.items()}
-    todo = dict(cuts)
+def _ends(narrow: DataFrame, rests: dict[str, int], near: dict[str, int]) -> dict[str, list[_Cut]]:
+    """Where the selection of each pattern ends; one pass over (pattern, size, hash, row) per digit.
+
+    Where documents too long for the rest stand at the end, the selection goes on behind them, until the rest
+    is ``near`` or no document fits.
+    """
+    cuts = {pattern: [_Cut(rest, 1 << 62)] for pattern, rest in rests.items()}
+    todo = {pattern: found[0] for pattern, found in cuts.items()}
+    last: dict[str, list[tuple[int, int, int]]] = {}
     places = 1 << DIGIT
     digit = F.expr(
         f"CASE WHEN high - low = 1 THEN (row - row_low) DIV greatest(1, (row_high - row_low) DIV {places}) ELSE (hash - low) DIV greatest(1, (high - low) DIV {places}) END"
@@ -227,14 +249,23 @@ def _ends(narrow: DataFrame, rests: dict[str, int]) -> dict[str, _Cut]:
         digits: dict[str, dict[int, tuple[int, int]]] = {}
         for r in counted.collect():
             digits.setdefault(r["pattern"], {})[r["digit"]] = (r["rows"], r["size"])
+        for pattern in set(todo).difference(digits):  # no document fits any more: the last ones may go beyond the rest
+            todo.pop(pattern)
+            cuts[pattern].pop()
+            cuts[pattern][-1].choose(last[pattern], True)
         few = {pattern: cut for pattern, cut in todo.items() if cut.narrow(digits[pattern])}
         if few:
-            last: dict[str, list[tuple[int, int, int]]] = {}
+            found: dict[str, list[tuple[int, int, int]]] = {}
             for r in _inside(narrow, few).select("pattern", "hash", "row", "size").collect():
-                last.setdefault(r["pattern"], []).append((r["hash"], r["row"], r["size"]))
-            for pattern in few:
-                cuts[pattern].choose(last[pattern])
+                found.setdefault(r["pattern"], []).append((r["hash"], r["row"], r["size"]))
+            for pattern, cut in few.items():
                 del todo[pattern]
+                last[pattern] = found[pattern]
+                left = cut.choose(last[pattern], True)
+                if abs(left) > near[pattern]:
+                    left = cut.choose(last[pattern], False)
+                    todo[pattern] = cut.after(left)
+                    cuts[pattern].append(todo[pattern])
     return cuts
 
 
@@ -276,14 +307,15 @@ def mix(
     wanted = targets(of_source, sum(sizes.values()), weights, share, most) if of_source else {}
     flows = route(sizes, belong, {source: round(target) for source, target in wanted.items()}, most)
     whole = {p: divmod(flows[p], sizes[p]) if sizes[p] else (0, 0) for p in sizes}
-    cuts = _ends(narrow, {p: rest for p, (_, rest) in whole.items() if rest})
-    none = _Cut(0, high=0)
-    plan = [(p, n, (c := cuts.get(p, none)).low, c.high, c.row_low, list(c.chosen)) for p, (n, _) in whole.items()]
-    frame = narrow.sparkSession.createDataFrame(plan, "pattern string, n int, low bigint, high bigint, row_low bigint, chosen array<bigint>")
-    taken = (
-        (F.col("hash") < F.col("low"))
-        | ((F.col("hash") < F.col("high")) & (F.col("row") < F.col("row_low")))
-        | F.array_contains("chosen", F.col("row"))
+    cuts = _ends(narrow, {p: rest for p, (_, rest) in whole.items() if rest}, {p: int(NEAR * flow) for p, flow in flows.items()})
+    plan = [
+        (p, n, [(c.start, c.start_row, c.most, c.low, c.high, c.row_low) for c in cuts.get(p, [])], [row for c in cuts.get(p, []) for row in c.chosen])
+        for p, (n, _) in whole.items()
+    ]
+    frame = narrow.sparkSession.createDataFrame(plan, f"pattern string, n int, cuts array<struct<{_CUT}>>, chosen array<bigint>")
+    goes_in = F.expr(
+        "exists(cuts, c -> size <= c.most AND (hash > c.start OR hash = c.start AND row >= c.start_row) AND (hash < c.low OR hash < c.high AND row < c.row_low))"
     )
+    taken = goes_in | F.array_contains("chosen", F.col("row"))
     mixed = narrow.join(F.broadcast(frame), "pattern").select("key", "members", "size", (F.col("n") + taken.cast("int")).alias("copies"))
     return mixed, {source: (of_source[source], wanted[source]) for source in wanted}

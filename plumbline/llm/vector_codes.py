@@ -7,7 +7,7 @@ parameters) to the trees, which assign whole subtrees by the triangle inequality
 one count per entry and task. No vector is shuffled.
 
 Defined cases: a vector that is null or empty, or holds null, NaN or infinite components, is left out.
-Others must have one common length that the parts divide, and components below 2^40 / ``scale`` in
+Others must have one common length that the parts divide, and components below 2^26 / ``scale`` in
 magnitude; both raise ValueError. Rows that repeat count as often as they occur and each get their code.
 Null keys come after all others as first entries, and equal keys in the order of their vectors. With fewer kept rows than
 entries, the codebooks are that short. An empty table gives no rows. Other columns are ignored, whatever their names.
@@ -29,7 +29,8 @@ from plumbline.session import materialize
 
 #: Vectors whose trees are built together; bounds the memory of a task.
 BLOCK = 8_192
-LARGEST = 2**40
+#: Scaled components stay below, so that squared distances fit 64 bits.
+LARGEST = 2**26
 
 
 def usable(vector: Column) -> Column:
@@ -40,7 +41,7 @@ def usable(vector: Column) -> Column:
 def _whole_numbers(vectors: np.ndarray, scale: int) -> np.ndarray:
     scaled = np.floor(vectors.astype(np.float64) * scale)
     if scaled.size and np.abs(scaled).max() >= LARGEST:
-        raise ValueError(f"components of {LARGEST // scale} or more are too large for whole sums")
+        raise ValueError(f"components of {LARGEST // scale} or more are too large")
     return scaled.astype(np.int64)
 
 
@@ -141,7 +142,7 @@ def encode(blocks: DataFrame, books: list[np.ndarray]) -> DataFrame:
                 errors = sum(away for _, away in found)
                 once = np.arange(len(codes) + 1, dtype=np.int32) * len(found)
                 columns = [batch.column(0).slice(at, 1).flatten(), batch.column(1).slice(at, 1).flatten()]
-                columns += [pa.ListArray.from_arrays(pa.array(once), pa.array(codes.reshape(-1))), pa.array(errors.tolist(), pa.int64())]
+                columns += [pa.ListArray.from_arrays(pa.array(once), pa.array(codes.reshape(-1))), pa.array(errors)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "grp", "code", "error"])
 
     kinds = {name: kind[len("array<") : -1] for name, kind in blocks.dtypes}
