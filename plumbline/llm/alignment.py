@@ -176,8 +176,9 @@ class Aligner:
             known = self.known
         new = set(chunks).difference(known)
         if new and self.before:
-            known.update({c: self.before[c] for c in new if c in self.before})
-            new.difference_update(known)
+            again = {c: self.before[c] for c in new if c in self.before}
+            known.update(again)
+            new = new.difference(again)
         if new:
             together = [c for c in new if len(c) <= LONG and _PLAIN.fullmatch(c)]
             if together:
