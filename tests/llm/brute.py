@@ -157,18 +157,33 @@ def near_lines(lines, edits=2):
 
 
 def line_dedup(docs, edits=2, least=24):
-    """doc_id → (lines, removed, links); ``docs`` have different ids."""
-    held = {doc: [(at, line) for at, line in enumerate((text or "").split("\n")) if len(line) >= least] for doc, text in docs}
-    near = near_lines([line for lines in held.values() for _, line in lines], edits)
+    """doc_id → (lines, removed, sources, links); ``docs`` have different ids."""
+    held = {doc: [(at, line) for at, line in enumerate((text or "").split("\n")) if line.strip()] for doc, text in docs}
+    first = {}
+    for doc in sorted(held, key=lambda d: (d is None, d or 0)):
+        for _, line in held[doc]:
+            first.setdefault(line, doc)
+    near = {line: [] for line in first} | near_lines([line for line in first if len(line) >= least], edits)
     root = components(near, near.get)
+    order = lambda line: (-len(near[line]), first[line] is None, first[line] or 0, hashlib.md5(line.encode()).digest())
+    stay, classes = {}, defaultdict(list)
+    for line in near:
+        classes[root[line]].append(line)
+    for lines in classes.values():
+        keep = []
+        for line in sorted(lines, key=order):
+            stay[line] = next((k for k in keep if edit_distance(k, line) <= edits), line)
+            keep += [line] * (stay[line] == line)
     seen, out = set(), {}
-    for doc, text in sorted(docs):
-        removed = []
+    for doc, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+        removed, sources = [], []
         for at, line in held[doc]:
-            if root[line] in seen:
+            if stay[line] == line and first[line] == doc and line not in seen:
+                seen.add(line)
+            else:
                 removed.append(at)
-            seen.add(root[line])
-        out[doc] = (len((text or "").split("\n")), removed, sum(len(near[line]) for line in {line for _, line in held[doc]}))
+                sources.append(first[stay[line]])
+        out[doc] = (len((text or "").split("\n")), removed, sources, sum(len(near[line]) for line in {line for _, line in held[doc]}))
     return out
 
 

@@ -238,17 +238,39 @@ def test_line_dedup(spark, cell):
             held.append("".join(line))
         docs.append((i, "\n".join(held + ["short"] * 2)))
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["n_links"]) for r in lines.mark_lines(df, cell=cell).collect()}
-    assert got == brute.line_dedup(docs)
+    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df, cell=cell).collect()}
+    want = brute.line_dedup(docs)
+    assert {doc: (n, links) for doc, (n, _, _, links) in got.items()} == {doc: (n, links) for doc, (n, _, _, links) in want.items()}
+    text = {doc: text.split("\n") for doc, text in docs}
+    for doc, (_, removed, sources, _) in got.items():
+        for at, source in zip(removed, sources):
+            left = [line for i, line in enumerate(text[source]) if i not in got[source][1]]
+            assert any(line == text[doc][at] or len(line) >= 24 and brute.edit_distance(line, text[doc][at]) <= 2 for line in left)
+    if cell >= 40:
+        assert got == want
+
+
+@pytest.mark.parametrize("cell", [2_000, 7])
+def test_line_dedup_does_not_follow_chains(spark, cell):
+    """Numbered lines are linked all along, but those that differ in more than two signs are different text."""
+    docs = [(i, f"Invoice {i:08} of the main office in town") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df, cell=cell).collect()}
+    if cell == 2_000:
+        assert got == brute.line_dedup(docs)
+    stays = {doc for doc, row in got.items() if not row[1]}
+    assert len(stays) >= 3 and all(set(row[2]) <= stays for row in got.values())
+    assert all(brute.edit_distance(docs[doc][1], docs[source][1]) <= 2 for doc, row in got.items() for source in row[2])
 
 
 def test_line_dedup_of_short_lines(spark):
-    """With ``short``, equal lines below the limit of the edit join go as well; near ones and blank ones stay."""
+    """Equal lines below the limit of the edit join go as well; near ones and blank ones stay."""
     long = [f"A line of its own, number {word}, which is long enough." for word in ("one hundred", "thousand")]
     docs = [(1, f"All rights reserved.\n\n{long[0]}\n \n"), (2, f"All rights reserved.\n\nAll right reserved.\n{long[1]}\n \nIt.\nIt."), (None, "All rights reserved.")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: (r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df, short=True).collect()}
-    assert got == {1: ([], [], 0), 2: ([0, 6], [1, 2], 0), None: ([0], [1], 0)}
+    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df).collect()}
+    assert got == brute.line_dedup(docs)
+    assert {doc: row[1:] for doc, row in got.items()} == {1: ([], [], 0), 2: ([0, 6], [1, 2], 0), None: ([0], [1], 0)}
 
 
 def test_line_dedup_of_odd_rows(docs, none):

@@ -89,7 +89,7 @@ def test_packing(spark, sf_dir, tables):
 
 def test_line_dedup(spark, sf_dir, tables):
     rows = QUERIES["op6_line_dedup"](spark, sf_dir).collect()
-    assert {r["doc_id"]: (r["n_lines"], r["removed"], r["n_links"]) for r in rows} == brute.line_dedup(tables["documents"])
+    assert {r["doc_id"]: (r["n_lines"], r["removed"], r["sources"], r["n_links"]) for r in rows} == brute.line_dedup(tables["documents"])
     assert all(r["n_removed"] == len(r["removed"]) == len(r["sources"]) for r in rows)
 
 
