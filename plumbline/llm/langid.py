@@ -38,7 +38,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters. Numerals such as ½ or Ⅷ are not letters and part them."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -102,7 +106,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not sizes:
         return Model([])
     shares = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
-    hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    hashed = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1_000_003)) / 1_000_003.0  # a key may repeat or be null
     counts = word_counts(rows.where(hashed < shares[F.col(lang)]), text, lang)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= vocabulary)
