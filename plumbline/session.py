@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return session
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this library where the driver has it (a cluster installs it there or elsewhere on the path)."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared checkpoint folder.
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import parse_number
 from plumbline.functions.numbers import NUMBER_PATTERN
+from plumbline.session import let_workers_import, materialize
+from plumbline.sources.splits import BEGIN, END, HEADER, INSIDE, WHOLE, joined_fragments, split_lines
 
 # Texts read as missing.
 NA_TOKENS = [
@@ -24,23 +30,37 @@ WIDE = "decimal(38,0)"
 _QUOTING = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+# A field that ends before the line does, with its comma; and the rest of a line that ends inside quotes.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_FIELDS = rf'(?:(?:{_QUOTED}")?+(?!")[^,]*+,)*+'
+_OPEN_FROM_START = rf"^{_FIELDS}{_QUOTED}\z"
+_OPEN_FROM_INSIDE = rf'^[^"]*+(?:""[^"]*+)*+(?:\z|"[^,]*+,{_FIELDS}{_QUOTED}\z)'
+#: What a line does to the state at its start (0 between records, 1 inside quotes), as the pair of states after it.
+SAME, CLOSES, OPENS, FLIPS = 0b10, 0b00, 0b11, 0b01
+
+
+def _effect() -> Column:
+    """The pair as a number: bit 0 the state after a start between records, bit 1 after a start inside quotes."""
+    line = F.col("value")
+    pair = line.rlike(_OPEN_FROM_START).cast("int") + 2 * line.rlike(_OPEN_FROM_INSIDE).cast("int")
+    return F.when(line.contains('"'), pair).otherwise(SAME).cast("int")
+
+
 def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
-    """Files in which a record spans lines: some line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).filter(quotes % 2 == 1)
+    """Files in which some line ends inside a quoted field."""
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.col("value").contains('"') & F.col("value").rlike(_OPEN_FROM_START))
     return sorted(row[0] for row in lines.select(F.col("_metadata.file_path")).distinct().collect())
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> DataFrame:
     """Read files with a header; missing tokens become null and column types are inferred.
 
-    A file is split across tasks unless one of its own records spans several lines. Types
-    come from one aggregate over all columns, after the missing tokens are gone.
+    Files are split across tasks, also those whose records span lines (see ``read_split``). Columns meet
+    by name, whatever their order in a file; a column that a file lacks is null there. Types come
+    from one aggregate over all columns, after the missing tokens are gone. With ``multiline``
+    set, Spark's reader takes all files, whole or by lines, and they must agree on the header.
     """
-    if multiline is None:
-        raw = _read_each(spark, path, files_with_line_breaks(spark, path))
-    else:
-        raw = _parse(spark, path, multiline)
+    raw = _read_by_header(spark, path) if multiline is None else _parse(spark, path, multiline)
     texts = raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return infer_types(texts) if infer else texts
 
@@ -54,14 +74,129 @@ def _plain_path(uri: str) -> str:
     return re.sub(r"^(\w+):/{3,}", r"\1:/", unquote(uri))
 
 
-def _read_each(spark: SparkSession, path: str, broken: list[str]) -> DataFrame:
-    """Files with records over several lines whole, the others split."""
-    if not broken:
+def _read_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """Files grouped by their first line and by whether records span lines, a union by column names.
+
+    The driver holds a line per file, as it holds the list of files.
+    """
+    lines = split_lines(spark, path).withColumn("row", F.monotonically_increasing_id())
+    facts = lines.where((F.col("split") == 0) | F.col("value").contains('"')).groupBy("path").agg(
+        F.min_by("value", F.when((F.col("split") == 0) & (F.trim("value") != ""), F.col("row"))).alias("header"),
+        F.max(F.col("value").contains('"') & F.col("value").rlike(_OPEN_FROM_START)).alias("broken"),
+    )
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for row in facts.collect():
+        header = (row["header"] or "").removesuffix("\r").removeprefix("\ufeff")
+        groups.setdefault((header, row["broken"]), []).append(_plain_path(row["path"]))
+    if not groups:
         return _parse(spark, path, False)
-    broken = sorted(map(_plain_path, broken))
-    plain = sorted(set(map(_plain_path, spark.read.text(path).inputFiles())).difference(broken))
-    whole = _parse(spark, broken, True)
-    return _parse(spark, plain, False).select(*[f"`{c}`" for c in whole.columns]).union(whole) if plain else whole
+    frames = []
+    for (_, broken), files in sorted(groups.items(), key=lambda group: min(group[1])):
+        names = _parse(spark, files[:1], broken).columns
+        names[-1] = names[-1].removesuffix("\r")
+        frames.append(read_split(spark, sorted(files), names) if broken else _parse(spark, sorted(files), False))
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame, allowMissingColumns=True)
+    return whole
+
+
+def _split_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, split, effect) of the lines of splits, in order: what all lines of a split do together."""
+    at, effect = None, SAME
+    out: list[tuple[int, int, int]] = []
+    for batch in batches:
+        for file, split, pair in zip(*[c.to_pylist() for c in batch.columns]):
+            if (file, split) != at:
+                if at is not None:
+                    out.append((*at, effect))
+                at, effect = (file, split), SAME
+            effect = (pair >> (effect & 1) & 1) | (pair >> (effect >> 1) & 1) << 1
+    if at is not None:
+        out.append((*at, effect))
+    columns = zip(*out) if out else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["file", "split", "effect"])
+
+
+def _states(effects: list[tuple[int, int, int]]) -> dict[int, tuple[list[int], list[int]]]:
+    """Of each file, the splits after which the state is another one, and the state after them."""
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    last, state = None, 0
+    for file, split, effect in sorted(effects):
+        state = 0 if file != last else state
+        last, after = file, effect >> state & 1
+        if after != state:
+            splits, states = found.setdefault(file, ([], []))
+            splits.append(split)
+            states.append(after)
+        state = after
+    return found
+
+
+def _records(states: dict[int, tuple[list[int], list[int]]]):
+    """Lines (file, split, value, effect) → pieces (file, split, kind, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, held, begun, header = None, 0, [], WHOLE, False
+        out: list[tuple] = []
+
+        def flush() -> Iterator[tuple]:
+            """What is held at the end of a split belongs to a record that goes on."""
+            if held:
+                yield (*at, begun, "\n".join(held))
+
+        for batch in batches:
+            for file, split, line, pair in zip(*[c.to_pylist() for c in batch.columns]):
+                if (file, split) != at:
+                    out += flush()
+                    at = (file, split)
+                    splits, after = states.get(file, ((), ()))
+                    i = bisect_left(splits, split)
+                    state = after[i - 1] if i else 0
+                    held, begun, header = [], INSIDE if state else WHOLE, split == 0
+                if not held and begun == WHOLE and not state and not line.strip():
+                    continue  # blank lines between records
+                before, state = state, pair >> state & 1
+                held.append(line)
+                if begun == WHOLE and state:
+                    begun = HEADER if header else BEGIN
+                elif not state:
+                    if begun == INSIDE:
+                        out.append((*at, END, "\n".join(held)))
+                    elif not header:
+                        out.append((*at, WHOLE, "\n".join(held)))
+                    held, begun, header = [], WHOLE, False
+            yield _pieces(out)
+            out = []
+        yield _pieces([*flush()])
+
+    return run
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), (), ())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "split", "kind", "text"])
+
+
+def read_split(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    """Files of one header whose quoted fields may hold line breaks, read by as many tasks as they have splits.
+
+    Every line tells what it does to the two states it may begin in; the effects of splits, put
+    together in file order, give each split the state it begins in.
+    """
+    let_workers_import(spark)
+    lines = split_lines(spark, files).select("file", "split", "value", _effect().alias("effect"))
+    changing = lines.where(F.col("effect") != SAME).select("file", "split", "effect")
+    effects = changing.mapInArrow(_split_effects, "file bigint, split bigint, effect int").collect()
+    states = _states([tuple(row) for row in effects])
+    pieces = materialize(lines.mapInArrow(_records(states), "file bigint, split bigint, kind int, text string"), "csv-records")
+    records = pieces.where(F.col("kind") == WHOLE).select("text").union(joined_fragments(pieces).where(F.col("kind") == WHOLE).select("text"))
+    text = F.when(F.col("text").endswith("\r"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {k: str(v) for k, v in _QUOTING.items()} | {"mode": "FAILFAST", "multiLine": "true", "header": "false"}
+    fields = records.select(F.from_csv(text, schema.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("row"))
+    return fields.select(*[F.col(f"row.c{i}").alias(name) for i, name in enumerate(names)])
 
 
 def null_tokens(c: Column) -> Column:

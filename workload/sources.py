@@ -30,6 +30,30 @@ def csv_texts(spark, sf_dir):
     return csv_files.read_csv(spark, path)
 
 
+@query("csv_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_split(spark, sf_dir):
+    """Texts with line breaks, read in splits far smaller than the files."""
+    path, size = scratch_path(spark, "csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    csv_files.write_csv(table(spark, sf_dir, "documents"), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        return csv_files.read_csv(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@query(
+    "csv_headers",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_totalprice END AS o_totalprice, o_orderstatus FROM orders",
+)
+def csv_headers(spark, sf_dir):
+    """Files whose columns stand in another order, or lack one."""
+    path, orders = scratch_path(spark, "csv"), table(spark, sf_dir, "orders")
+    for rest, names in enumerate((["o_orderkey", "o_totalprice", "o_orderstatus"], ["o_orderstatus", "o_orderkey", "o_totalprice"], ["o_orderstatus", "o_orderkey"])):
+        csv_files.write_csv(orders.where(F.col("o_orderkey") % 3 == rest).select(*names), f"{path}/{rest}")
+    return csv_files.read_csv(spark, f"{path}/*")
+
+
 DUMP_ROWS = 500
 
 
