@@ -21,7 +21,7 @@ def split_lines(spark: SparkSession, files: str | list[str]) -> DataFrame:
     ``split`` the first byte. Rows of a split come together and in order, as long as they are not shuffled."""
     lines = spark.read.option("lineSep", "\n").text(files)
     path = F.col("_metadata.file_path")
-    return lines.select(path.alias("path"), F.xxhash64(path).alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    return lines.select(path.alias("path"), F.xxhash64(F.replace(path, F.lit(":///"), F.lit(":/"))).alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
 
 
 def runs(first: list, second: list) -> list[tuple[int, int]]:

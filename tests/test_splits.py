@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.sources import csv_files
+from plumbline.sources import csv_files, dump_parts, sql_dumps
 
 
 @contextlib.contextmanager
@@ -39,17 +39,17 @@ ALPHABET = ["a", "b", '"', ",", "\n", " ", "é", '""', '",', ',"', '\n"', "x" *
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_records_over_lines_are_split(spark, tmp_path, end):
     rng = random.Random(len(end))
-    rows = [(str(i), "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 12))) + "z", f"end {i}") for i in range(400)]
+    rows = [(str(i), "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 12))) + "z", f"end {i}") for i in range(250)]
     rows[7] = ("7", "\n" * 900 + "z", "long")  # reaches over several splits
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_bytes(_csv([("k", "te,xt\n", "v"), *rows], end).encode())
-    for size in (100, 700, 1 << 27):
+    for size in (200, 700, 1 << 27):
         with splits_of(spark, size):
             df = csv_files.read_csv(spark, f"{tmp_path}/in", infer=False)
             assert df.columns == ["k", "te,xt\n", "v"]
             assert Counter(map(tuple, df.collect())) == Counter(rows)
             if size == 700:
-                assert csv_files.split_lines(spark, f"{tmp_path}/in").rdd.getNumPartitions() > 10
+                assert csv_files.split_lines(spark, f"{tmp_path}/in").rdd.getNumPartitions() > 5
 
 
 def test_columns_meet_by_name(spark, tmp_path):
@@ -114,3 +114,62 @@ def test_states_of_splits(effects, width):
             after = [s for split, s in zip(*found) if split < i // width * 10]
             assert (after[-1] if after else 0) == state
         state = e >> state & 1
+
+
+def _dump(rng, n):
+    """A script with quotes, comments and statements in odd places, and the rows of its first table."""
+    rows, text = [], ["-- INSERT INTO t VALUES (0, 'no'); it's a comment\nCREATE TABLE t (a INT,\n b TEXT /* not; this ' */, c DECIMAL(30, 2));\n\nCREATE TABLE u (x INT);"]
+    for i in range(n):
+        if i % 40 == 0:
+            text.append(rng.choice(["\nINSERT INTO u VALUES (1), (lower('x'));", ";", "/* ; ' \n */", "\n-- quote ' and ;\n", ""]))
+            text.append(rng.choice(["\nINSERT INTO t VALUES", "insert  into t\n(a, b, c)\nvalues ", "INSERT INTO `t` (a,b,c) VALUES\n"]))
+        note = "".join(rng.choice(["'", ";", "\n", "(", "),", "--", "/*", "*/", "w", "é"]) for _ in range(rng.randint(0, 6)))
+        rows.append((i, note, f"{i}.25"))
+        quoted = note.replace("'", "''")
+        text.append(f"({i}, '{quoted}', {i}.25)" + (";\n" if i % 40 == 39 or i == n - 1 else rng.choice([",", ",\n", " ,\n  "])))
+    return "".join(text), rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dumps_are_split(spark, tmp_path, seed):
+    from decimal import Decimal
+
+    script, rows = _dump(random.Random(seed), 150)
+    (tmp_path / "d.sql").write_text(script)
+    want = Counter((a, b, Decimal(c)) for a, b, c in rows)
+    for size in (150, 1_000, 1 << 27):
+        with splits_of(spark, size):
+            df = sql_dumps.read_sql_table(spark, str(tmp_path / "d.sql"))
+            assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "decimal(30,2)")]
+            assert Counter(map(tuple, df.collect())) == want
+            if size == 1_000:
+                parts = dump_parts.read_sql_parts(spark, str(tmp_path / "d.sql"), 100)
+                assert parts.count() > 8 and parts.agg({"script": "max"}).first()
+                found = sql_dumps.sql_dump_rows(parts).orderBy("part", "statement", "row_no").collect()
+                assert [int(r["values"][0]) for r in found] == [a for a, _, _ in rows]
+
+
+def test_errors_of_split_dumps(spark, tmp_path):
+    values = ",\n".join(f"({i}, 'x')" for i in range(60))
+    cases = {
+        "SELECT 1;\n" * 50: sql_dumps.NO_TABLE,
+        f"CREATE TABLE t (a INT, b TEXT);\nINSERT INTO t VALUES {values},\n(7, lower('Q'));": sql_dumps.NOT_LITERAL,
+        f"CREATE TABLE t (a INT, b TEXT);\nINSERT INTO t VALUES {values};\nINSERT INTO t VALUES\n(7);": sql_dumps.NO_SUCH_COLUMN,
+        f"CREATE TABLE t (a INT, b TEXT);\nINSERT INTO t VALUES {values};\nATTACH DATABASE 'x' AS y;": sql_dumps.NO_ATTACH,
+    }
+    for i, (script, error) in enumerate(cases.items()):
+        (tmp_path / f"{i}.sql").write_text(script)
+        with splits_of(spark, 300), pytest.raises(sql_dumps.SqlDumpError, match=error):
+            sql_dumps.read_sql_table(spark, str(tmp_path / f"{i}.sql"))
+
+
+def test_values_beyond_the_declared_type(spark, tmp_path):
+    (tmp_path / "x.sql").write_text(
+        "CREATE TABLE t (a INT, b INT, c INT, d DECIMAL(30,2), e DECIMAL(30,2), f INT, g REAL);\n"
+        "INSERT INTO t VALUES (99999999999999999999, 1.5, 'x', 1234567890123456789012345678.25, 0.125, 1, 'n'), (1, 2, 3, 4, 5, NULL, 2.5);"
+    )
+    df = sql_dumps.read_sql_table(spark, str(tmp_path / "x.sql"))
+    assert [k for _, k in df.dtypes] == ["decimal(38,0)", "double", "string", "decimal(30,2)", "double", "bigint", "string"]
+    first, second = sorted(df.collect(), key=lambda r: r["e"])
+    assert [str(v) for v in first] == ["99999999999999999999", "1.5", "x", "1234567890123456789012345678.25", "0.125", "1", "n"]
+    assert [str(v) for v in second] == ["1", "2.0", "3", "4.00", "5.0", "None", "2.5"]

@@ -88,6 +88,34 @@ def sql_dump_rows(spark, sf_dir):
     return artifacts.read_source(spark, path, "sql")
 
 
+@query(
+    "sql_dump_large",
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
+       concat(l_returnflag, ' and ', chr(39), l_linestatus, chr(39), ';') AS note FROM lineitem""",
+)
+def sql_dump_large(spark, sf_dir):
+    """The line items as one dump: an INSERT without an end in sight, cut into parts of whole rows by the tasks that read it.
+
+    One file is what the query is about, so the rows pass one task when it is written.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    note = F.concat(F.col("l_returnflag"), F.lit(" and ''"), F.col("l_linestatus"), F.lit("'';"))
+    quoted = [F.concat(F.lit("'"), c, F.lit("'")) for c in (F.col("l_returnflag"), F.col("l_shipdate").cast("date").cast("string"), note)]
+    row = F.concat(F.lit("("), F.concat_ws(",", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", *quoted), F.lit("),"))
+    head = (
+        "CREATE TABLE lineitem (\n  l_orderkey INT,\n  l_linenumber INT,\n  l_quantity REAL,\n  l_extendedprice REAL, -- the price; before '\n  l_discount REAL,\n"
+        "  l_returnflag TEXT,\n  l_shipdate TEXT,\n  note TEXT\n);\n/* rows; */\nINSERT INTO lineitem VALUES"
+    )
+    one = lambda text: spark.createDataFrame([(text,)], "value string")
+    path, size = scratch_path(spark, "dump"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    one(head).union(lines.select(row)).union(one(f"({', '.join(['NULL'] * 8)});")).coalesce(1).write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        return artifacts.read_source(spark, path, "sql").where("l_orderkey IS NOT NULL")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 @query(
     "page_text_corpus",
     """SELECT doc_id, CAST(i AS INTEGER) AS page, text FROM (
