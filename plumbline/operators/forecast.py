@@ -110,16 +110,23 @@ def linear_forecast(series: DataFrame, line: Line, horizon: int = 30) -> DataFra
 
 
 def choose_model(requested: str) -> tuple[str, str | None]:
-    """The model that runs and a note. The seasonal solver is not part of this engine."""
+    """The model that runs without a known period, and a note."""
     return (LINEAR, FALLBACK_NOTE) if requested == SEASONAL else (LINEAR, None)
 
 
 def forecast(
-    df: DataFrame, target: str, order_by: Sequence[str | Column], horizon: int = 30, model: str = LINEAR
+    df: DataFrame, target: str, order_by: Sequence[str | Column], horizon: int = 30, model: str = LINEAR, period: int | None = None
 ) -> DataFrame:
-    """Forecast rows with the model used and, where it stands in for another, a note."""
-    used, note = choose_model(model)
+    """Forecast rows with the model used and, where it stands in for another, a note.
+
+    The seasonal model needs the ``period`` of the season in rows; it runs where it beats the line on the last rows.
+    """
     series = numeric_series(df, target, order_by)
+    if model == SEASONAL and period is not None:
+        from plumbline.operators.seasonal import forecast_with_season
+
+        return forecast_with_season(series, period, horizon, target)
+    used, note = choose_model(model)
     rows = linear_forecast(series, fit_line(series, target), horizon)
     return rows.withColumns({"model_used": F.lit(used), "note": F.lit(note).cast("string")})
 

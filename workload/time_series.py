@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import py_round
-from plumbline.operators import forecast, timeseries
+from plumbline.operators import forecast, seasonal, timeseries
 from plumbline.operators.ask import ask_forecast as six_steps
 from plumbline.operators.ask import forecast_growth, monthly_series
 from workload.analytics import MONTHS
@@ -176,3 +176,51 @@ def forecast_many(spark, sf_dir):
 def forecast_many_large_series(spark, sf_dir):
     """A handful of series, each far larger than one partition should hold, thirty steps ahead."""
     return forecast.forecast_many(table(spark, sf_dir, "events"), "event_type", "value", ORDER, horizon=30)
+
+
+PERIOD = 7
+# A trend and the three pairs of waves that seven points tell apart span the same models as a trend and a level per place in the week.
+SEASONS = f"""places AS (SELECT *, t % {PERIOD} AS place, avg(t) OVER w AS mt, avg(y) OVER w AS my, count(*) OVER (PARTITION BY series) AS n
+  FROM numbered WINDOW w AS (PARTITION BY series, t % {PERIOD})),
+slopes AS (SELECT series, sum((t - mt) * (y - my)) / sum((t - mt) * (t - mt)) AS slope FROM places WHERE n >= {2 * PERIOD} GROUP BY series),
+levels AS (SELECT DISTINCT series, place, n, slope, my - slope * mt AS level FROM places JOIN slopes USING (series)),
+spreads AS (SELECT series, 1.96 * sqrt(avg((y - level - slope * t) ** 2)) AS margin FROM places JOIN levels USING (series, place) GROUP BY series),
+ahead AS (SELECT series, n, h, level + slope * (n - 1 + h) AS value, margin FROM levels JOIN spreads USING (series) JOIN range(1, {HORIZON + 1}) r(h)
+  ON place = (n - 1 + h) % {PERIOD})"""
+
+
+@query(
+    "forecast_seasonal",
+    f"""WITH numbered AS (SELECT 0 AS series, row_number() OVER (ORDER BY ts, event_id) - 1 AS t, value AS y FROM events WHERE value IS NOT NULL),
+{SEASONS}
+SELECT n - 1 + h AS t, {rnd("value", 6)} AS forecast, {rnd("value - margin", 6)} AS lower, {rnd("value + margin", 6)} AS upper FROM ahead""",
+)
+def forecast_seasonal(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    return seasonal.seasonal_forecast(series, seasonal.fit_season(series, PERIOD), HORIZON)
+
+
+@query(
+    "forecast_seasonal_many",
+    f"""WITH numbered AS (SELECT event_type AS series, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events WHERE value IS NOT NULL),
+{SEASONS}
+SELECT series, n AS points, CAST(h AS INTEGER) AS step, {rnd("value", 4)} AS forecast, {rnd("value - margin", 4)} AS lower, {rnd("value + margin", 4)} AS upper FROM ahead""",
+)
+def forecast_seasonal_many(spark, sf_dir):
+    """A handful of series, each far larger than one partition should hold."""
+    return seasonal.seasonal_many(table(spark, sf_dir, "events"), "event_type", "value", ORDER, PERIOD, HORIZON)
+
+
+@query(
+    "forecast_model_choice",
+    f"""WITH every AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS t, value AS y, count(*) OVER () AS total FROM events WHERE value IS NOT NULL),
+numbered AS (SELECT 0 AS series, t, y FROM every WHERE t < total - greatest(1, total // {seasonal.HELD_OUT})),
+{SEASONS},
+line AS (SELECT regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM numbered),
+errors AS (SELECT avg(abs(y - a - b * t)) AS le, avg(abs(y - level - slope * t)) AS se FROM every JOIN levels ON place = t % {PERIOD} CROSS JOIN line
+  WHERE t >= total - greatest(1, total // {seasonal.HELD_OUT}))
+SELECT CASE WHEN se < le THEN '{forecast.SEASONAL}' ELSE '{forecast.LINEAR}' END AS model_used, {rnd("le", 6)} AS line_error, {rnd("se", 6)} AS season_error,
+  CASE WHEN se >= le THEN '{seasonal.NO_GAIN}' END AS note FROM errors""",
+)
+def forecast_model_choice(spark, sf_dir):
+    return seasonal.compare_models(_series(spark, sf_dir), PERIOD)
