@@ -23,15 +23,69 @@ DATE_FORMATS = [
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
 ]
+# Fixed values, tried after the ones above; month first, then day first, as there.
+MORE_FORMATS = [
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "yyyy/M/d H:mm"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+]
+# Half days; the text is compared in upper case.
+HALF_DAY_FORMATS = [
+    (rf"^{shape} \d{{1,2}}:\d{{2}}{seconds} ?[AP]M$", f"{date} h:mm{':ss' if seconds else ''}[ ]a")
+    for shape, date in ((r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"), (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"))
+    for seconds in ("", r":\d{2}")
+]
+# Years of two digits, with any of the three signs between.
+SHORT_YEAR_FORMATS = [
+    (rf"^\d{{1,2}}{guard}\d{{1,2}}{guard}\d{{2}}$", sign.join(parts))
+    for guard, sign in (("/", "/"), ("-", "-"), (r"\.", "."))
+    for parts in (("M", "d", "yy"), ("d", "M", "yy"))
+]
+# Names of months, once weekdays are gone, signs between are spaces, and words begin with one capital.
+MONTH_FORMATS = [
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Z][a-z]{3,} \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
+    (r"^[A-Z][a-z]{3,} \d{4}$", "MMMM yyyy"),
+]
+SHORT_MONTH_FORMATS = [(r"^\d{1,2} [A-Z][a-z]{2} \d{2}$", "d MMM yy"), (r"^\d{1,2} [A-Z][a-z]{3,} \d{2}$", "d MMMM yy")]
+_WEEKDAY = r"(?i)^(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?[,.]?\s+(?=\S+ )"
 _ISO_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"
+_LONGEST = 40
+#: Years that a timestamp in nanoseconds reaches.
+_YEARS = 1678, 2261
+
+
+def _tried(text: Column, formats: list[tuple[str, str]]) -> list[Column]:
+    return [F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(fmt))) for guard, fmt in formats]
+
+
+def _near(moment: Column) -> Column:
+    """A year of two digits is less than 50 years ahead."""
+    ahead = F.year(moment) >= F.year(F.current_date()) + 50
+    return F.when(ahead, F.add_months(moment, -1200).cast("timestamp")).otherwise(moment)
 
 
 def parse_mixed_date(c: Column) -> Column:
     """Text in any accepted format to timestamp, null when no format fits."""
     text = F.trim(c)
-    attempts = [F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(fmt))) for guard, fmt in DATE_FORMATS]
+    words = F.initcap(F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), r"[\s,./-]+", " "))
+    attempts = _tried(text, DATE_FORMATS)
     attempts.append(F.when(text.rlike(_ISO_TIMESTAMP), text.try_cast("timestamp")))
-    return F.coalesce(*attempts)
+    attempts += _tried(text, MORE_FORMATS)
+    attempts += [_near(moment) for moment in _tried(text, SHORT_YEAR_FORMATS)]
+    attempts.append(F.when(text.rlike(r"(?i)[ap]m$"), F.coalesce(*_tried(F.upper(text), HALF_DAY_FORMATS))))
+    named = [*_tried(words, MONTH_FORMATS), *(_near(moment) for moment in _tried(words, SHORT_MONTH_FORMATS))]
+    attempts.append(F.when(text.rlike("[A-Za-z]{3}"), F.coalesce(*named)))
+    attempts.append(F.when(text.rlike(r"^\d{4}$") & text.try_cast("int").between(*_YEARS), F.try_to_timestamp(text, F.lit("yyyy"))))
+    # Most texts are not dates: those without a digit and long ones are not tried.
+    return F.when(text.rlike("[0-9]") & (F.char_length(text) <= _LONGEST), F.coalesce(*attempts))
 
 
 def month_end(c: Column) -> Column:

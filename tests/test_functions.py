@@ -73,3 +73,22 @@ def test_weeks_end_on_sunday(spark):
     days = ["2024-01-06", "2024-01-07", "2024-01-08"]
     got = [str(r[0]) for r in _column(spark, days, "string").select(week_end(F.col("v"))).collect()]
     assert got == ["2024-01-07", "2024-01-07", "2024-01-14"]
+
+
+DATES = """1/2/24|13/2/24|1-2-24|1.2.24|13.2.24|Jan 5 2024|Jan 5, 2024|january 5 2024|JANUARY 5, 2024|2024.01.05|5.1.2024|13.1.2024|1/2/2024 5:00 PM|1/2/2024 12:00 am|13/2/2024 5:00 PM
+1/2/2024 5:00:07 am|13/2/2024 11:05|5-Jan-2024|5-Jan-24|5 Jan 24|5 jan 2024|05 January, 2024|Mon, 5 Jan 2024|Monday 5 January 2024|2024/1/5 10:11|2024/1/5 10:11:12|Jan 2024|January 2024
+2024-01-05 5:00 PM|2024|1/2/70|1/2/75|1/2/76|1/2/99|31/12/99|May 3 2024|3 May 2024|sunny 5 Jan 2024|5 Foo 2024|1/32/24|13/13/24|1.2|v1.2.24|1234|0|nothing|12|Sun|2024-13-01""".replace("\n", "|").split("|")
+
+
+def test_dates_equal_pandas(spark):
+    import warnings
+
+    import pandas as pd
+
+    warnings.simplefilter("ignore")
+    want = {t: pd.to_datetime(pd.Series([t]), errors="coerce", format="mixed")[0] for t in DATES}
+    df = spark.createDataFrame([(t,) for t in DATES], "t string").select("t", F.date_format(parse_mixed_date(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("d"))
+    got = {r["t"]: r["d"] for r in df.collect()}
+    unlike = {t: (got[t], str(want[t])) for t in DATES if got[t] != (None if pd.isna(want[t]) else str(want[t]))}
+    assert not {t: pair for t, pair in unlike.items() if t not in ("1.2", "Sun", "12", "0")}, unlike
+    assert all(got[t] is None for t in unlike)

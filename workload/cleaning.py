@@ -7,7 +7,7 @@ from plumbline.operators.profile import duplicate_rows, table_size
 from plumbline.functions import py_round, side_by_side
 from plumbline.plans.versions import store
 from plumbline.session import materialize, scratch_path
-from workload.inputs import EVENTS_DIRTY, events_dirty
+from workload.inputs import EVENTS_DIRTY, events_dirty, table
 from workload.registry import query, rnd
 
 TRIMMED = "trimmed AS (SELECT trim(event_type, ' ') AS event_type, value, user_text, day_text FROM events_dirty)"
@@ -166,3 +166,13 @@ def _version_facts(spark, name, version):
         F.col("missing_cells").alias("missing"),
         F.col("duplicate_rows").alias("copies"),
     )
+
+
+SHAPES = ["M/d/yy", "MMM d yyyy", "yyyy.MM.dd", "M/d/yyyy h:mm a", "d-MMM-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/M/d H:mm", "EEE, d MMM yyyy"]
+
+
+@query("clean_dates_mixed", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_text FROM events")
+def clean_dates_mixed(spark, sf_dir):
+    """Dates written in nine ways become one."""
+    written = F.array(*[F.date_format("ts", shape) for shape in SHAPES])[(F.col("event_id") % len(SHAPES)).cast("int")]
+    return clean.normalize_dates(table(spark, sf_dir, "events").select("event_id", written.alias("day_text")))

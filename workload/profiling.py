@@ -3,8 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import py_round
-from plumbline.operators import association, coercion, profile, quantiles, roles
+from plumbline.operators import association, coercion, profile, profile_state, quantiles, roles
 from plumbline.operators.breakdown import kpi_summary
+from plumbline.session import materialize
 from workload.inputs import EVENTS_DIRTY, SALES, events_dirty, sales, table
 from workload.registry import query, rnd
 
@@ -339,3 +340,34 @@ def event_props(spark, sf_dir):
     return events.groupBy("event_type").agg(
         F.count("*").alias("events"), F.count("k").alias("keyed"), F.min("k").alias("low"), F.max("k").alias("high")
     )
+
+
+@query(
+    "profile_merged",
+    """WITH long AS (
+  UNPIVOT (SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem)
+  ON l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount INTO NAME "column" VALUE v)
+SELECT "column", count(*) AS rows, CAST(0 AS BIGINT) AS missing, count(v) AS numbers, CAST(format('{:.6f}', fsum(v) / count(v)) AS DOUBLE) AS mean, min(v) AS least, max(v) AS most,
+  TRUE AS quartiles_near, TRUE AS different_near FROM long GROUP BY 1""",
+)
+def profile_merged(spark, sf_dir):
+    """States of the line items of each flag and status, stored, then merged; quartiles and different values are held against the table."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    states = materialize(profile_state.profile_states(items, ["l_returnflag", "l_linestatus"]), "states")
+    found = profile_state.merged_profile(states).where(F.col("column") != profile_state.ROWS)
+    names = items.columns[2:]
+    marks = {r["column"]: r for r in found.collect()}
+    checks = [
+        c.alias(f"{name}_{mark}_{i}")
+        for name in names
+        for mark in ("q1", "median", "q3")
+        for i, c in enumerate((F.avg((F.col(name) < marks[name][mark]).cast("int")), F.avg((F.col(name) <= marks[name][mark]).cast("int"))))
+    ]
+    real = items.agg(*checks, *[F.countDistinct(name).alias(f"{name}_different") for name in names]).first()
+    near = {
+        name: all(real[f"{name}_{mark}_0"] - profile_state.RANK_ERROR <= rank <= real[f"{name}_{mark}_1"] + profile_state.RANK_ERROR for mark, rank in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+        for name in names
+    }
+    alike = {name: abs(marks[name]["different"] / real[f"{name}_different"] - 1) <= 2 * profile_state.DISTINCT_ERROR for name in names}
+    held = spark.createDataFrame([(name, near[name], alike[name]) for name in names], "column string, quartiles_near boolean, different_near boolean")
+    return found.select("column", "rows", "missing", "numbers", py_round(F.col("mean"), 6).alias("mean"), "least", "most").join(held, "column")
