@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -10,7 +11,6 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions import parse_number
 from plumbline.functions.numbers import NUMBER_PATTERN
@@ -46,9 +46,14 @@ def _effect() -> Column:
     return F.when(line.contains('"'), pair).otherwise(SAME).cast("int")
 
 
+def has_open_record(line: str) -> Column:
+    """Whether a line, read from its start, ends inside a quoted field."""
+    return F.col(line).contains('"') & F.col(line).rlike(_OPEN_FROM_START)
+
+
 def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
     """Files in which some line ends inside a quoted field."""
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.col("value").contains('"') & F.col("value").rlike(_OPEN_FROM_START))
+    lines = spark.read.option("lineSep", "\n").text(path).where(has_open_record("value"))
     return sorted(row[0] for row in lines.select(F.col("_metadata.file_path")).distinct().collect())
 
 
@@ -69,7 +74,7 @@ def _parse(spark: SparkSession, path: str | list[str], multiline: bool) -> DataF
     return spark.read.options(**_QUOTING, mode="FAILFAST", multiLine=multiline).csv(path)
 
 
-def _plain_path(uri: str) -> str:
+def plain_path(uri: str) -> str:
     """A file's path as readers take it; ``file:///a`` and ``file:/a`` are the same."""
     return re.sub(r"^(\w+):/{3,}", r"\1:/", unquote(uri))
 
@@ -82,12 +87,12 @@ def _read_by_header(spark: SparkSession, path: str) -> DataFrame:
     lines = split_lines(spark, path).withColumn("row", F.monotonically_increasing_id())
     facts = lines.where((F.col("split") == 0) | F.col("value").contains('"')).groupBy("path").agg(
         F.min_by("value", F.when((F.col("split") == 0) & (F.trim("value") != ""), F.col("row"))).alias("header"),
-        F.max(F.col("value").contains('"') & F.col("value").rlike(_OPEN_FROM_START)).alias("broken"),
+        F.max(has_open_record("value")).alias("broken"),
     )
     groups: dict[tuple[str, bool], list[str]] = {}
     for row in facts.collect():
         header = (row["header"] or "").removesuffix("\r").removeprefix("\ufeff")
-        groups.setdefault((header, row["broken"]), []).append(_plain_path(row["path"]))
+        groups.setdefault((header, row["broken"]), []).append(plain_path(row["path"]))
     if not groups:
         return _parse(spark, path, False)
     frames = []
@@ -179,11 +184,11 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "split", "kind", "text"])
 
 
-def read_split(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
-    """Files of one header whose quoted fields may hold line breaks, read by as many tasks as they have splits.
+def split_records(spark: SparkSession, files: list[str]) -> tuple[DataFrame, set[int]]:
+    """Rows (file, text) of the records of files whose quoted fields may hold line breaks, without headers; and the files that end inside quotes.
 
-    Every line tells what it does to the two states it may begin in; the effects of splits, put
-    together in file order, give each split the state it begins in.
+    Files are read by as many tasks as they have splits. Every line tells what it does to the two states it may begin
+    in; the effects of splits, put together in file order, give each split the state it begins in.
     """
     let_workers_import(spark)
     lines = split_lines(spark, files).select("file", "split", "value", _effect().alias("effect"))
@@ -191,11 +196,47 @@ def read_split(spark: SparkSession, files: list[str], names: list[str]) -> DataF
     effects = changing.mapInArrow(_split_effects, "file bigint, split bigint, effect int").collect()
     states = _states([tuple(row) for row in effects])
     pieces = materialize(lines.mapInArrow(_records(states), "file bigint, split bigint, kind int, text string"), "csv-records")
-    records = pieces.where(F.col("kind") == WHOLE).select("text").union(joined_fragments(pieces).where(F.col("kind") == WHOLE).select("text"))
-    text = F.when(F.col("text").endswith("\r"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    options = {k: str(v) for k, v in _QUOTING.items()} | {"mode": "FAILFAST", "multiLine": "true", "header": "false"}
-    fields = records.select(F.from_csv(text, schema.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("row"))
+    whole = F.col("kind") == WHOLE
+    records = pieces.where(whole).select("file", "text").union(joined_fragments(pieces).where(whole).select("file", "text"))
+    return records.withColumn("text", without_return("text")), {file for file, (_, after) in states.items() if after[-1]}
+
+
+def without_return(text: str) -> Column:
+    """The column without the carriage return at its end."""
+    return F.when(F.col(text).endswith("\r"), F.expr(f"left({text}, length({text}) - 1)")).otherwise(F.col(text))
+
+
+def parsed_fields(text: str, columns: int, mode: str = "FAILFAST") -> Column:
+    """A struct of texts ``c0``, ``c1``, ... from one record."""
+    options = {k: str(v) for k, v in _QUOTING.items()} | {"mode": mode, "multiLine": "true", "header": "false"}
+    return F.from_csv(F.col(text), ", ".join(f"c{i} string" for i in range(columns)), options)
+
+
+def number_of_fields(text: str) -> Column:
+    """Fields of one record: commas outside quotes, and one."""
+    bare = F.when(F.col(text).contains('"'), F.regexp_replace(text, rf'(^|,){_QUOTED}"', "$1")).otherwise(F.col(text))
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def header_names(spark: SparkSession, file: str, line: str) -> list[str]:
+    """Column names by the first line of ``file``; empty ones are numbered, repeated ones get a suffix."""
+    line = line.removesuffix("\r").removeprefix("\ufeff")
+    opens = re.search(_OPEN_FROM_START.replace(r"\z", r"\Z"), line)
+    names = _parse(spark, [file], True).columns if opens else next(csv.reader([line]))
+    taken: set[str] = set()
+    for i, name in enumerate(names):
+        found, n = name or f"Unnamed: {i}", 0
+        while (new := f"{found}.{n}" if n else found) in taken:
+            n += 1
+        taken.add(new)
+        names[i] = new
+    return names
+
+
+def read_split(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    """Files of one header whose quoted fields may hold line breaks, read by as many tasks as they have splits."""
+    records, _ = split_records(spark, files)
+    fields = records.select(parsed_fields("text", len(names)).alias("row"))
     return fields.select(*[F.col(f"row.c{i}").alias(name) for i, name in enumerate(names)])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from plumbline.operators.relational import append_audit
 from plumbline.session import scratch_path
 from plumbline.sources import artifacts, csv_files, intake, page_text
+from plumbline.streaming import landing
 from plumbline.streaming.ingest import file_profiles
 from plumbline.streaming.ingest import ingest_profile as profile_stream
 from workload.inputs import ACTIVITY, EVENTS_DIRTY, activity, events_dirty, table
@@ -262,3 +263,62 @@ def ingest_duplicates(spark, sf_dir):
         )
         out = named if out is None else out.unionByName(named)
     return out.groupBy("batches", "file").agg(F.sum("row_count").alias("row_count"), F.sum("duplicate_rows").alias("duplicate_rows"))
+
+
+@query(
+    "ingest_isolated",
+    f"""WITH {EVENTS_DIRTY}, files AS (
+  SELECT CASE WHEN value IS NULL THEN 'gaps' WHEN event_type IS NULL THEN 'untyped' ELSE 'full' END AS file,
+         (event_type, value, nullif(user_text, 'n/a'), day_text) AS cells,
+         (event_type IS NULL)::INT + (value IS NULL)::INT + (user_text IS NULL OR user_text = 'n/a')::INT + (day_text IS NULL)::INT AS gaps FROM events_dirty)
+SELECT file, 'cleaned' AS status, 1 AS attempt, count(*) AS row_count, 4 AS column_count, CAST(sum(gaps) AS BIGINT) AS missing_cells,
+       count(*) - count(DISTINCT cells) AS duplicate_rows FROM files GROUP BY file
+UNION ALL SELECT 'customers', 'cleaned', 1, count(*), 3, 0, 0 FROM customer
+UNION ALL SELECT 'torn', 'error', 2, NULL, NULL, NULL, NULL""",
+)
+def ingest_isolated(spark, sf_dir):
+    """Files of other columns and orders, with line breaks, and one that cannot be read land together; the last one's attempts run out."""
+    root, quoting = scratch_path(spark, "landing"), {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+    quoting |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    file = F.when(F.col("value").isNull(), "gaps").when(F.col("event_type").isNull(), "untyped").otherwise("full")
+    dirty = events_dirty(spark, sf_dir).withColumn("file", file)
+    for name in ("gaps", "untyped", "full"):  # the columns of each file in another order
+        names = ["event_type", "value", "user_text", "day_text"]
+        turned = names[len(name) % 4 :] + names[: len(name) % 4]
+        dirty.where(F.col("file") == name).select(*turned).coalesce(1).write.options(**quoting).csv(f"{root}/in/file={name}")
+    broken_lines = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('"'))
+    table(spark, sf_dir, "customer").select("c_custkey", broken_lines.alias("c_name"), "c_acctbal").coalesce(1).write.options(**quoting).csv(
+        f"{root}/in/file=customers"
+    )
+    torn = table(spark, sf_dir, "region").select(F.col("r_name").alias("value")).coalesce(1)
+    torn.write.text(f"{root}/torn")
+    _copy_as(spark, f"{root}/torn", f"{root}/in/file=torn", "torn.csv.gz")
+    landing.land_files(spark, f"{root}/in/*", f"{root}/out", f"{root}/checkpoint", attempts=2).awaitTermination()
+    landing.retry_landed(spark, f"{root}/out", attempts=2)
+    outcomes = landing.file_outcomes(spark, f"{root}/out").withColumn("file", F.regexp_extract("path", "file=([a-z]+)", 1))
+    return outcomes.select("file", "status", "attempt", "row_count", "column_count", "missing_cells", "duplicate_rows")
+
+
+def _copy_as(spark, source, target, name):
+    """The one part file of ``source`` under another name, so that its ending says what it is not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files, conf = path(source).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jsc.hadoopConfiguration()
+    part = next(f.getPath() for f in files.listStatus(path(source)) if f.getPath().getName().startswith("part-"))
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, part, files, path(f"{target}/{name}"), False, conf)
+
+
+@query(
+    "landed_profile",
+    """WITH files AS (SELECT * FROM orders), n AS (SELECT count(*) AS n FROM files)
+SELECT 'o_orderkey' AS "column", 'bigint' AS dtype, count(*) AS "rows", CAST(0 AS BIGINT) AS missing, count(*) AS numbers, CAST(min(o_orderkey) AS DOUBLE) AS least, CAST(max(o_orderkey) AS DOUBLE) AS most FROM files
+UNION ALL SELECT 'o_totalprice', 'double', count(*), 0, count(*), min(o_totalprice), max(o_totalprice) FROM files
+UNION ALL SELECT 'o_orderstatus', 'string', count(*), 0, 0, NULL, NULL FROM files
+UNION ALL SELECT '*', 'row', count(*), 0, 0, NULL, NULL FROM files""",
+)
+def landed_profile(spark, sf_dir):
+    """The profile of a table that landed in files, from their states."""
+    root = scratch_path(spark, "landing")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    csv_files.write_csv(orders.repartition(4), f"{root}/in")
+    landing.land_files(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files_per_batch=3).awaitTermination()
+    return landing.landed_profile(spark, f"{root}/out").select("column", "dtype", "rows", "missing", "numbers", "least", "most")
