@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import clean
 from plumbline.operators.profile import duplicate_rows, table_size
 from plumbline.functions import py_round, side_by_side
+from plumbline.plans.history import VersionConflict, VersionedTable
 from plumbline.plans.versions import store
 from plumbline.session import materialize, scratch_path
 from workload.inputs import EVENTS_DIRTY, events_dirty, table
@@ -176,3 +177,31 @@ def clean_dates_mixed(spark, sf_dir):
     """Dates written in nine ways become one."""
     written = F.array(*[F.date_format("ts", shape) for shape in SHAPES])[(F.col("event_id") % len(SHAPES)).cast("int")]
     return clean.normalize_dates(table(spark, sf_dir, "events").select("event_id", written.alias("day_text")))
+
+
+@query(
+    "version_history",
+    f"""WITH {ALL_STEPS}, b AS ({_facts_sql("events_dirty")}), a AS ({_facts_sql("filled")})
+SELECT 'events' AS name, 1 AS version, 'stored' AS kind, row_count, missing, copies FROM b
+UNION ALL SELECT 'events', 2, 'cleaned', row_count, missing, copies FROM a
+UNION ALL SELECT 'events', 3, 'undone', row_count, missing, copies FROM b
+UNION ALL SELECT 'events (copy)', 1, 'copied', row_count, missing, copies FROM a
+UNION ALL SELECT 'late writer', 0, 'refused', row_count, missing, copies FROM b""",
+)
+def version_history(spark, sf_dir):
+    """Stored, cleaned, undone and copied versions with the profiles of their commits; a writer that is late changes nothing."""
+    root = scratch_path(spark, "history")
+    events = VersionedTable.create(events_dirty(spark, sf_dir), "events", f"{root}/events")
+    pinned = events.read()
+    events.apply(clean.CleaningOptions.everything())
+    snapshot = events.copy(f"{root}/copy")
+    events.undo()
+    try:
+        events.apply(clean.CleaningOptions(trim_whitespace=True), seen=1)
+    except VersionConflict:
+        refused = side_by_side(table_size(pinned), duplicate_rows(pinned)).select(
+            F.lit("late writer").alias("name"), F.lit(0).alias("version"), F.lit("refused").alias("kind"), "total_rows", "missing_cells", "duplicate_rows"
+        )
+    columns = ["name", "version", "kind", "total_rows", "missing_cells", "duplicate_rows"]
+    found = events.history().select(*columns).unionByName(snapshot.history().select(*columns)).unionByName(refused)
+    return found.withColumnsRenamed({"total_rows": "row_count", "missing_cells": "missing", "duplicate_rows": "copies"})
