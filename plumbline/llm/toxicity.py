@@ -7,7 +7,7 @@ lexicon comes from the first, the trees from the second and the calibration from
 no stage judges rows which an earlier one has seen; with too few rows of a class all use all rows.
 
 Fitting reads a bounded sample: labelled rows whose hashed id falls below the share that makes
-``SAMPLE`` rows. Scoring covers every text whole.
+``SAMPLE`` rows (see ``labelled_rows`` for null, repeated and shared ids). Scoring covers every text whole.
 
 Defined cases: null labels are left out; without rows of both classes every score is the share of
 toxic rows (0 without any); null and empty texts have all features zero and are scored like others;
@@ -41,6 +41,7 @@ TREES, DEPTH, STEP = 30, 4, 0.2
 _CACHE = 200_000
 _NEAR = 5  # words between a hit and a second-person word
 _FOLD_ROWS = 20  # of each class
+_PARTS = 1_000_003
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vos".split())
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -172,17 +173,36 @@ class Model:
     share: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """``labels``: (key, label) of the rows to learn from. About ``sample`` of them are read, whatever their number."""
-    known = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+def labelled_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The sample to learn from as rows (text, label, fold), written once, and its rows by fold and label.
+
+    Null keys label nothing, and a key that is labelled more than once counts once, as toxic if any label says so; so about ``sample``
+    keys are drawn and sent to the tasks. Where many documents share a drawn key, the rows are thinned once more, each on its own.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
+    known = known.where(F.col("key").isNotNull() & F.col("label").isin(0, 1)).groupBy("key").agg(F.max("label").alias("label"))
     n = known.count()
-    hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    hashed = F.pmod(F.xxhash64("key"), F.lit(_PARTS)) / float(_PARTS)
     some = known.where(hashed < min(1.0, sample / max(1, n)))  # so many rows that a broadcast is bounded
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), key)
-    fold = F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(10))
-    rows = rows.withColumn("fold", F.when(fold < 5, 0).when(fold < 8, 1).otherwise(2))
-    rows = materialize(rows.select("text", "label", "fold").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)), "labelled")
-    counts = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "key")
+    fold = F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(10))
+    fold = F.when(fold < 5, 0).when(fold < 8, 1).otherwise(2).alias("fold")
+    rows = rows.select("text", "label", fold, F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)), "labelled")
+
+    def counted(frame: DataFrame) -> dict[tuple[int, int], int]:
+        return {(r["fold"], r["label"]): r["count"] for r in frame.groupBy("fold", "label").count().collect()}
+
+    counts = counted(rows)
+    if (found := sum(counts.values())) > 2 * sample:
+        rows = rows.where(F.pmod(F.xxhash64("row"), F.lit(_PARTS)) / float(_PARTS) < sample / found)
+        counts = counted(rows)
+    return rows.drop("row"), counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """``labels``: (key, label) of the rows to learn from. About ``sample`` rows are read, whatever their number."""
+    rows, counts = labelled_rows(docs, labels, text, key, label, sample)
     total = [sum(c for (_, y), c in counts.items() if y == k) for k in (0, 1)]
     share = total[1] / max(1, sum(total))
     if not all(total):

@@ -293,3 +293,23 @@ def test_cover_tree(seed, depth, spread):
     count, total = tree.sums(entries)
     assert (count == np.bincount(nearest, minlength=len(entries))).all()
     assert all((total[k] == rows[nearest == k].sum(axis=0)).all() for k in range(len(entries)))
+
+
+def test_toxicity_sample_is_bounded_for_hot_keys(spark):
+    """A third of the labels without key, a third of one key, and that key on a third of the documents."""
+    from plumbline.llm import toxicity
+
+    labels = [(None, 1)] * 2000 + [(7, 0)] * 1999 + [(7, 1)] + [(k, k % 2) for k in range(100, 2100)]
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    texts = [(None, f"none {i}") for i in range(2000)] + [(7, f"hot {i}") for i in range(2000)] + [(k, f"own {k}") for k in range(100, 2100)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for sample in (200, 10_000):
+        rows, counts = toxicity.labelled_rows(docs, labels, "text", "doc_id", "toxic", sample)
+        found = [(r.text.split()[0], r.label) for r in rows.collect()]
+        assert len(found) == sum(counts.values()) <= 2 * sample
+        assert ("none", 1) not in found and {label for kind, label in found if kind == "hot"} <= {1}
+        if sample == 10_000:
+            assert found.count(("hot", 1)) == 2000 and sum(kind == "own" for kind, _ in found) == 2000
+    hot = labels.where("doc_id = 7")
+    rows, counts = toxicity.labelled_rows(docs, hot, "text", "doc_id", "toxic", 100)
+    assert 50 <= rows.count() == sum(counts.values()) <= 200
