@@ -265,6 +265,16 @@ def test_line_dedup_does_not_follow_chains(spark, cell):
     assert all(brute.edit_distance(docs[doc][1], docs[source][1]) <= 2 for doc, row in got.items() for source in row[2])
 
 
+def test_line_dedup_is_the_same_for_any_cell(spark):
+    """Small cells deal the work out; which lines stay does not depend on them."""
+    rng = random.Random(1)
+    docs = [(i, f"Invoice {rng.randrange(4000):08} of the main office in town") for i in range(120)]
+    docs += [(1000 + i, f"{'x' * i}{'y' * (30 - i)} chained") for i in range(30)] + [(None, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(2)
+    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["sources"], r["n_links"]) for r in lines.mark_lines(df, cell=5).collect()}
+    assert got == brute.line_dedup(docs)
+
+
 def test_line_dedup_of_short_lines(spark):
     """Equal lines below the limit of the edit join go as well; near ones and blank ones stay."""
     long = [f"A line of its own, number {word}, which is long enough." for word in ("one hundred", "thousand")]
