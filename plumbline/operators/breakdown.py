@@ -16,6 +16,7 @@ from plumbline.operators.distinct import capped_distinct
 from plumbline.operators.profile import completeness, quality_facts, score_expression
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.roles import Roles, geo_dimension, measure_columns, pick_dimension, pick_measure, variances
+from plumbline.session import materialize
 
 SEGMENTS = ["Low", "Medium", "High", "Top"]
 
@@ -78,7 +79,10 @@ def geo_breakdown(df: DataFrame, measure: str | None = None, k: int = 12) -> Dat
 
 
 def segmentation(df: DataFrame, measure: str, exact: bool = True) -> DataFrame:
-    """Records per quartile of the measure; no rows when quartile edges collide."""
+    """Records per quartile of the measure; no rows when quartile edges collide.
+
+    The measure is written once: quantiles, distinct values and counts read it again, not the joins that it may come from."""
+    df = materialize(df.select(F.col(f"`{measure}`")), "segmentation")
     empty = df.sparkSession.createDataFrame([], "segment string, records bigint")
     cuts = quantiles(df, [measure], [0.0, 0.25, 0.5, 0.75, 1.0], exact)[measure]
     # pandas-style labels need four segments (five edges) and four different values.

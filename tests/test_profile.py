@@ -163,3 +163,17 @@ def test_segmentation_needs_four_quartiles(spark):
     assert breakdown.segmentation(heavy, "v").count() == 0
     three = spark.createDataFrame([(1,), (2,), (3,)], "v int")
     assert breakdown.segmentation(three, "v").count() == 0
+
+
+def test_segmentation_reads_its_input_once(spark):
+    """An input of joins is costly; only the measure is kept of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 400, 1, 2).selectExpr("CAST(id AS DOUBLE) AS v", "id").mapInArrow(counted, "v double, id bigint")
+    assert [(r.segment, r.records) for r in breakdown.segmentation(rows, "v").collect()] == [("Low", 100), ("Medium", 100), ("High", 100), ("Top", 100)]
+    assert seen.value == 400
