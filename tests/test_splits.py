@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.sources import csv_files, dump_parts, sql_dumps
 
@@ -173,3 +174,17 @@ def test_values_beyond_the_declared_type(spark, tmp_path):
     first, second = sorted(df.collect(), key=lambda r: r["e"])
     assert [str(v) for v in first] == ["99999999999999999999", "1.5", "x", "1234567890123456789012345678.25", "0.125", "1", "n"]
     assert [str(v) for v in second] == ["1", "2.0", "3", "4.00", "5.0", "None", "2.5"]
+
+
+def test_parts_of_a_dump_stay_where_they_were_read(spark, tmp_path):
+    """All parts of a file have one path; shuffled by it, they would meet in one task."""
+    values = ",\n".join(f"({i}, 'text {i}')" for i in range(400))
+    (tmp_path / "d.sql").write_text(f"CREATE TABLE t (a INT, b TEXT);\nINSERT INTO t VALUES {values};")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        with splits_of(spark, 1000):
+            parts = dump_parts.read_sql_parts(spark, str(tmp_path / "d.sql"), 100)
+            assert len({row["task"] for row in parts.select(F.spark_partition_id().alias("task")).collect()}) > 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
