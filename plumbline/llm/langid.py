@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import packing
 from plumbline.llm._columns import named, other_columns
 
 SAMPLE = 4_000  # documents of each language
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place = [name.lower() for name in kept].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packing.forget()  # of a pipeline run before this one
         scorer = _Scorer(shared.value)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(place).to_pylist()]

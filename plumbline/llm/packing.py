@@ -119,6 +119,12 @@ class _Ids:
             at = until
 
 
+def forget() -> None:
+    """Give back what this worker remembers of texts, for the work of another operator that follows in it."""
+    for ids in _Ids.by_path.values():
+        ids.chunks, ids.words = {}, {}
+
+
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     return _Ids.of(path)(texts)

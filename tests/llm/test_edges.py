@@ -412,3 +412,13 @@ def test_pipeline_stages(spark, sf_dir, docs, none):
                 assert out.columns == table.columns and len(found) <= table.count()
                 assert all({n: r[n] for n in EXTRA} == given for r in found)
             assert table is docs or not found
+
+
+def test_packing_gives_back_what_it_remembers():
+    tokenizer = path(corpus_pipeline.TOKENIZER)
+    texts = ["Some words, and some (more) words."]
+    ids = list(packing.token_bytes(texts, tokenizer))
+    assert packing._Ids.of(tokenizer).chunks and packing._Ids.of(tokenizer).words
+    packing.forget()
+    assert not packing._Ids.of(tokenizer).chunks and not packing._Ids.of(tokenizer).words
+    assert list(packing.token_bytes(texts, tokenizer)) == ids
